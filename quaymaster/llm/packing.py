@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,13 +25,13 @@ from pyspark.sql.window import Window
 
 from .common import slices, staged, text_bytes
 
-#: Words whose ids a worker keeps at hand.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps at hand: so many used lately, and as many used before.
+CACHED_WORDS = 400_000
 #: Rows that one window partition ranks, about.
 RANK_ROWS = 100_000
 
 _tokenizers: dict[str, object] = {}
-_ids: dict[str, dict[bytes, bytes]] = defaultdict(dict)
+_ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(path: str):
@@ -48,15 +49,19 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary never joins across ASCII white space, so ids of words are kept and joined; only
     words not seen lately run the tokenizer.
     """
-    cache = _ids[path]
+    cache, older = _ids.setdefault(path, ({}, {}))
+    if len(cache) > CACHED_WORDS:
+        cache, older = _ids[path] = {}, cache
     split = [t.split() for t in texts]
-    missing = list({w for words in split for w in words if w not in cache})
-    if len(cache) + len(missing) > CACHED_WORDS:
-        cache.clear()
-        missing = list({w for words in split for w in words})
+    missing = []
+    for word in {w for words in split for w in words if w not in cache}:
+        if word in older:
+            cache[word] = older[word]
+        else:
+            missing.append(word)
     if missing:
         found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, found, strict=True))
+        cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(missing, found, strict=True))
     return [b"".join([cache[w] for w in words]) for words in split]
 
 
