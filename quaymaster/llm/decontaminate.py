@@ -216,20 +216,42 @@ def banded(pattern: bytes, text: np.ndarray, diagonal: int, width: int, region:
     return best[1:] if best else None
 
 
-def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per region: id, item id, start and end (in characters of the text) and edits."""
-    items = benchmark.select(F.col(item_col).alias("item"), text_bytes(item_text_col).alias("text"))
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[bytes], str]]:
+    """Ids and texts of the items, about BLOCK_BYTES at a time, and the ids' type."""
+    items = benchmark.select(F.col(item_col).alias("item"), text_bytes(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        yield [r["item"] for r in rows], [bytes(r["text"]) for r in rows], items.schema["item"].dataType.simpleString()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any region of the benchmark, with all their columns."""
+    place = docs.columns.index(text_col)
+    for ids, texts, _ in _blocks(benchmark, item_col, item_text_col):
+
+        def keep(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+            index = Index(ids, texts)
+            for batch in slices(batches, text_col):
+                found = index.regions([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()])
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[r[0] for r in found]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per region: id, item id, start and end (in characters of the text) and edits."""
     slim = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    id_kind, item_kind = slim.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    item_arrow = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
+    id_kind = slim.schema["id"].dataType.simpleString()
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
-        ids, texts = [r["item"] for r in rows], [bytes(r["text"]) for r in rows]
+    for ids, texts, item_kind in _blocks(benchmark, item_col, item_text_col):
+        item_arrow = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
 
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
             index = Index(ids, texts)
             for batch in slices(batches, "text"):
                 found = index.regions(batch.column(1).to_pylist())

@@ -9,8 +9,9 @@ list length avoids empty and thin segments, which many sets share, and takes a o
 neighbourhood of a thick segment instead.
 
 Equal sets are one class from the start, and a bucket of classes is never expanded into all pairs:
-first every class is verified against one probing class of its bucket; only where a bucket still
-spans several components are the pairs across components verified.  No link is lost.
+first every class is verified against one probing class of its bucket, then against a dozen others
+where its buckets still span components, and only for classes that no try has linked to the rest of
+their bucket are all pairs across components verified.  No link between components is lost.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing;
 fewer words than a shingle count as one shingle.  A row without an id takes no part (null results
@@ -30,8 +31,12 @@ from .common import mix, partitions, release, slices, staged, text_bytes
 from .components import components
 from .shingles import set_key, shingle_sets
 
-#: Cost model of the allocation: the chance that another set shares a token, and the cost of a signature.
-SHARED, SIGNATURE = 0.3, 1e-3
+#: Cost model of the allocation: the cost of a signature, and of a segment's thinness.
+SIGNATURE, THIN = 1e-4, 1e-2
+#: Others that a set is tried with before all pairs of what is left.
+CENTERS = 12
+#: Cells of a parity sketch.
+CELLS = 2048
 _U = np.uint64
 
 
@@ -58,8 +63,11 @@ class Scheme:
         need = self.budget(high, high * 100 // self.percent) + 1
         return need + 1 + need // 48, 1 + need // 24
 
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket hashes of a set and their roles (1: indexed, 2: probing, 3: both)."""
+    def signatures(self, tokens: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket hashes of a set and their roles (1: indexed, 2: probing, 3: both).
+
+        ``share`` estimates, for every token, which part of all sets holds it too.
+        """
         n = len(tokens)
         own = self.band(n)
         least = -(-n * self.percent // 100)
@@ -73,7 +81,9 @@ class Scheme:
             size = np.bincount(segment, minlength=m)
             total = np.zeros(m, dtype=np.uint64)
             np.add.at(total, segment, hashed)
-            level = self._levels(size, twofold, need)
+            rarest = np.ones(m)  # an empty segment is shared by all sets with one
+            np.minimum.at(rarest, segment, share)
+            level = self._levels(size, rarest, twofold, need)
             place = (np.arange(m, dtype=np.uint64) + _U(1)) * _U(0xD6E8FEB86659FD93) + _U(band)
             exact, near = mix(total ^ place), mix((total ^ place) + _U(0xA5A5A5A5A5A5A5A5))
             role = np.where(level > 0, 2, 0) + (band == own)
@@ -94,10 +104,11 @@ class Scheme:
         return np.concatenate(out), np.concatenate(roles)
 
     @staticmethod
-    def _levels(size: np.ndarray, twofold: int, need: int) -> np.ndarray:
-        """The cheapest levels that sum to ``need``."""
-        one = SIGNATURE + SHARED ** np.minimum(size, 30)
-        two = 2 * (size[:twofold] + 1) * SIGNATURE + (size[:twofold] + 2) * SHARED ** (np.minimum(size[:twofold], 30) - 1.0)
+    def _levels(size: np.ndarray, rarest: np.ndarray, twofold: int, need: int) -> np.ndarray:
+        """The cheapest levels that sum to ``need``: a list is about as long as its rarest token's."""
+        one = SIGNATURE + rarest + THIN * 0.3 ** np.minimum(size, 30)
+        near, thick = size[:twofold], np.minimum(size[:twofold], 30)
+        two = 2 * (near + 1) * SIGNATURE + (near + 2) * (rarest[:twofold] + THIN * 0.3 ** (thick - 1.0))
         cost = np.concatenate([one, np.maximum(two, one[:twofold] + 1e-12)])  # the second step never comes first
         level = np.zeros(len(size), dtype=np.int64)
         chosen = np.argsort(cost, kind="stable")[:need]
@@ -144,6 +155,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(b[good]), pa.array(k[good]), pa.array(nr[good] >> 2), pa.array((nr[good] & 3).astype(np.int8)), pa.array(head[c]), pa.array(head_nr[c] >> 2), pa.nulls(int(good.sum()), batch.schema.field(3).type)], names=_FOUND)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of CELLS cells, as 64-bit words.
+
+    Every token by which two sets differ flips one cell, so sketches never differ in more cells than
+    the sets do in tokens: a pair whose sketches differ in too many is no link.
+    """
+    odd = np.bincount((mix(tokens) >> _U(32)).astype(np.int64) % CELLS, minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _FOUND = ["bucket", "key", "n", "role", "center", "center_n", "id"]
 
 
@@ -187,13 +208,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(keys), pa.array((sizes << 2).astype(np.int32)), batch.column(0)], names=["bucket", "key", "nr", "id"])
             buckets, owners, nrs = [], [], []
             present = batch.column(0).is_valid().to_pylist()
+            fresh = []
             for s, key, here in zip(sets, keys.tolist(), present, strict=True):
                 if here and len(s) and key not in seen:  # copies in this task need no second entry
                     seen.add(key)
-                    found, roles = scheme.signatures(s)
-                    buckets.append(found)
-                    nrs.append((len(s) << 2 | roles).astype(np.int32))
-                    owners.append(np.full(len(found), key))
+                    fresh.append((s, key))
+            # how common a token is, as these sets tell: only the cost of candidates depends on it
+            flat = np.concatenate([s for s, _ in fresh]) if fresh else np.empty(0, dtype=np.uint64)
+            _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+            shares = np.split((count[where] - 1) / max(1, len(fresh)), np.cumsum([len(s) for s, _ in fresh])[:-1]) if fresh else []
+            for (s, key), share in zip(fresh, shares, strict=True):
+                found, roles = scheme.signatures(s, share)
+                buckets.append(found)
+                nrs.append((len(s) << 2 | roles).astype(np.int32))
+                owners.append(np.full(len(found), key))
             if len(seen) > 1_000_000:
                 seen.clear()
             if buckets:
@@ -217,23 +245,48 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["key", "tokens", "sketch"])
 
     some = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
-    sets = staged(some.mapInArrow(tokens, "key long, tokens binary"), "join-sets").dropDuplicates(["key"])
+    sets = staged(some.mapInArrow(tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
     links = staged(_verified(stars, sets, percent), "join-links")
     release(spark)
 
     label = components(links)
-    # buckets that still span components: the pairs across them, but for those just verified
-    at = entries.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = staged(at.join(split, "bucket", "left_semi").select("bucket", "key", "n", "role", "center", "label"), "join-rest")
-    probing, indexed = rest.where("role >= 2"), rest.where("role <> 2")
-    p = probing.select("bucket", F.col("key").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), "center")
-    i = indexed.select("bucket", F.col("key").alias("i"), F.col("n").alias("in"), F.col("label").alias("il"))
-    across = p.join(i, "bucket").where((F.col("pl") != F.col("il")) & (F.col("in") <= F.col("pn")) & fits(F.col("pn"), F.col("in")) & (F.col("p") != F.col("center")) & (F.col("i") != F.col("center")))
-    across = across.select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+
+    def spanning(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that span components."""
+        at = rows.drop("label").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        return staged(at.join(split, "bucket", "left_semi").select("bucket", "key", "n", "role", "label"), name)
+
+    # Where one center was not enough: each set against some others of the largest of its buckets that span components
+    rest = spanning(entries.select("bucket", "key", "n", "role"), label, "join-rest")
+    drawn = [F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(i))) for i in range(CENTERS)]
+    buckets = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.array_distinct(F.array(*drawn)).alias("some")).where(F.col("rows") > 2)
+    largest = rest.join(buckets.select("bucket", "rows"), "bucket").groupBy("key", "n", "label").agg(F.max_by("bucket", F.struct("rows", "bucket")).alias("bucket"))
+    tried = largest.join(buckets.select("bucket", "some"), "bucket").select("key", "n", "label", F.explode("some").alias("c"))
+    tried = tried.where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n")))
+    tried = tried.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    tried = staged(tried, "join-tried")
+    second = staged(_verified(tried, sets, percent), "join-second")
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        label = components(links)
+
+    # What is left: all pairs across components, each at the first bucket that it has in common
+    rest = spanning(rest, label, "join-left").join(sets.select("key", "sketch"), "key")
+    every = F.sort_array(F.collect_set("bucket"))
+    p = rest.where("role >= 2").join(rest.where("role >= 2").groupBy("key").agg(every.alias("pb")), "key")
+    i = rest.where("role <> 2").join(rest.where("role <> 2").groupBy("key").agg(every.alias("ib")), "key")
+    p = p.select("bucket", F.col("key").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), "pb", F.col("sketch").alias("ps"))
+    i = i.select("bucket", F.col("key").alias("i"), F.col("n").alias("in"), F.col("label").alias("il"), "ib", F.col("sketch").alias("is"))
+    crossing = (p["bucket"] == i["bucket"]) & (F.col("pl") != F.col("il")) & (F.col("in") <= F.col("pn")) & fits(F.col("pn"), F.col("in"))
+    crossing = crossing & (F.array_min(F.array_intersect("pb", "ib")) == p["bucket"])
+    apart = F.aggregate(F.zip_with("ps", "is", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    crossing = crossing & (apart * (100 + percent) <= (F.col("pn") + F.col("in")) * (100 - percent))
+    across = p.join(i, crossing).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    across = staged(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "join-across")
     more = staged(_verified(across, sets, percent), "join-more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
@@ -248,3 +301,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.col("key").alias("set_key"),
     )
+
+
+def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+
+    Rows without an id, and rows with an empty set, all stay.  Repeated rows of an id leave one.
+    """
+    found = staged(jaccard_components(docs, width, percent, id_col, text_col), "join-components")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    whole = kept.where(F.col(id_col).isNull())
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(whole)

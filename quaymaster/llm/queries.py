@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lm, media, ngram_join, packing, sharding, toxicity, url_filter
+from . import decontaminate, html_extract, lm, media, ngram_join, packing, pii, sharding, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -52,6 +52,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.host_rule(v, r) for v, r in URL_RULES]
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).drop("url")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
+    "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
 

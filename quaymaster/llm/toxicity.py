@@ -226,47 +226,80 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 _SPLIT = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
+class Tagger:
+    """Scores texts with a fitted model; made in each task from its few weights."""
+
+    def __init__(self, weights: tuple | None):
+        self.scores: _Scores | None = None
+        if weights is not None:
+            emission = np.zeros(DIMENSIONS)
+            emission[weights[0]] = weights[1]
+            self.scores = _Scores(Model(emission, weights[2], weights[3]))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every text's score; the marginals of all words; and where each text's words begin among them."""
+        if self.scores is None:
+            return np.zeros(len(texts)), np.empty(0), np.zeros(len(texts), np.int64)
+        if len(self.scores) > CACHED_WORDS:
+            self.scores.clear()
+        model, scores = self.scores.model, self.scores
+        split, count = _tokens(texts)
+        raw = np.fromiter((scores[w] for words in split for w in words), dtype=np.float64, count=int(count.sum()))
+        ends = raw > 5e5
+        first, length = _chains(ends, count)
+        marginal, _ = _marginals(raw - ends * 1e6, first, length, model.chain)
+        return 1 / (1 + np.exp(-_aggregate(marginal, count) @ model.map)), marginal, np.cumsum(count) - count
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> tuple | None:
+    texts, toxic, weight = training_sample(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    if not len(texts):
+        return None
+    model = fit(texts, toxic, weight)
+    used = np.flatnonzero(model.emission)
+    return used.astype(np.int32), model.emission[used].astype(np.float32), model.chain, model.map
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    weights = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(weights)
+        for batch in slices(batches, text_col):
+            chance, _, _ = tagger([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array(chance < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
 ) -> DataFrame:
     """id, held_out, score, predicted, and spans: start and end (in characters) and score of offending words."""
-    texts, toxic, weight = training_sample(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
-    model = fit(texts, toxic, weight) if len(texts) else None
-    del texts
+    weights = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), text_bytes(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    used = np.flatnonzero(model.emission) if model else None
-    parts = (used.astype(np.int32), model.emission[used].astype(np.float32), model.chain, model.map) if model else None
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if parts:
-            emission = np.zeros(DIMENSIONS)
-            emission[parts[0]] = parts[1]
-            own = Model(emission, parts[2], parts[3])
-            scores = _Scores(own)
+        tagger = Tagger(weights)
         for batch in slices(batches, "text"):
             texts = batch.column(2).to_pylist()
-            chance, spans = np.zeros(len(texts)), [[] for _ in texts]
-            if parts:
-                split, count = _tokens(texts)
-                raw = np.fromiter((scores[w] for words in split for w in words), dtype=np.float64, count=int(count.sum()))
-                ends = raw > 5e5
-                raw = raw - ends * 1e6
-                first, length = _chains(ends, count)
-                marginal, _ = _marginals(raw, first, length, own.chain)
-                chance = 1 / (1 + np.exp(-_aggregate(marginal, count) @ own.map))
-                start = np.cumsum(count) - count
-                at = np.flatnonzero(marginal >= 0.5)
-                for text in np.unique(np.searchsorted(start, at, side="right") - 1 if len(at) else at).tolist():
-                    for i, m in enumerate(_SPLIT.finditer(texts[text])):
-                        p = marginal[start[text] + i]
-                        if p >= 0.5:
-                            lo = len(texts[text][: m.start()].decode("utf-8", "ignore"))
-                            spans[text].append({"start": lo, "end": lo + len(m.group().decode("utf-8", "ignore")), "score": float(p)})
-                if len(scores) > CACHED_WORDS:
-                    scores.clear()
+            chance, marginal, start = tagger(texts)
+            spans: list[list[dict]] = [[] for _ in texts]
+            at = np.flatnonzero(marginal >= 0.5)
+            for text in np.unique(np.searchsorted(start, at, side="right") - 1).tolist():
+                for i, m in enumerate(_SPLIT.finditer(texts[text])):
+                    p = marginal[start[text] + i]
+                    if p >= 0.5:
+                        lo = len(texts[text][: m.start()].decode("utf-8", "ignore"))
+                        spans[text].append({"start": lo, "end": lo + len(m.group().decode("utf-8", "ignore")), "score": float(p)})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(chance), pa.array((chance >= threshold).astype(np.int32)), pa.array(spans, span_type)],
                 names=["id", "held_out", "score", "predicted", "spans"],
