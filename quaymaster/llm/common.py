@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 STEP_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go as soon as it has ended, since only the written table is read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymaster/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

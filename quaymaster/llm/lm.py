@@ -99,11 +99,11 @@ class _Ngrams:
         self.names, self.n_words = names[self.order], len(words)
         self.end_word = int(np.flatnonzero(words == _END)[0])
 
-    def occurrences(self, folds: list[int]) -> np.ndarray:
-        """How often each name occurs in texts of these folds, in the order of ``names``."""
-        of = np.isin(self.folds, folds)[self.owner]
+    def occurrences(self) -> np.ndarray:
+        """How often each name occurs in training texts, in the order of ``names``."""
+        of = (self.folds != HELD_OUT)[self.owner]
         found = np.concatenate([np.bincount(self.tokens[of], minlength=self.n_words), np.bincount(self.pair[of], minlength=len(self.names) - self.n_words)])
-        return found[self.order].astype("<u4")
+        return found[self.order]
 
     def token_counts(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """c(h, w), c(h) and c(w) of every token, of counts in the order of ``names``."""
@@ -119,42 +119,62 @@ def _bits(ranges: int) -> int:
     return max(0, (ranges - 1).bit_length())
 
 
+def _short(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in a byte each, and (place, count) of those that need more."""
+    large = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), np.stack([large, counts[large]], axis=1).astype("<u4").tobytes()
+
+
+def _long(short: bytes, large: bytes) -> np.ndarray:
+    counts = np.frombuffer(short, np.uint8).astype(np.int64)
+    place, count = np.frombuffer(large, "<u4").reshape(-1, 2).T
+    counts[place] = count
+    return counts
+
+
 def _requests(chunks: DataFrame, bits: int) -> DataFrame:
     """The names that each chunk asks for in each range, with its own counts of them."""
-    main = [f for f in range(FOLDS) if f not in (HELD_OUT, TUNING)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 grams = _Ngrams(row["folds"], row["counts"], row["words"], row["tokens"])
-                a, b = grams.occurrences(main), grams.occurrences([TUNING])
+                own = grams.occurrences()
                 part = (grams.names >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams.names), np.int64)
                 cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
                 spans = list(zip(cuts, cuts[1:], strict=False))
+                short, large = zip(*(_short(own[s:e]) for s, e in spans), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([row["chunk"]] * len(spans)), *(pa.array([x[s:e].tobytes() for s, e in spans], pa.binary()) for x in (grams.names, a, b))],
-                    names=["part", "chunk", "names", "main", "tuning"],
+                    [pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([row["chunk"]] * len(spans)), pa.array([row["tuning"]] * len(spans)), *(pa.array(c, pa.binary()) for c in ([grams.names[s:e].tobytes() for s, e in spans], short, large))],
+                    names=["part", "chunk", "tuning", "names", "short", "large"],
                 )
 
-    return chunks.mapInArrow(ask, "part int, chunk long, names binary, main binary, tuning binary")
+    return chunks.mapInArrow(ask, "part int, chunk long, tuning boolean, names binary, short binary, large binary")
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Sums over all chunks, for every chunk; and one row (chunk null) of this range's words and tokens."""
-    names = np.frombuffer(b"".join(group["names"]), np.uint64)
-    distinct, where = np.unique(names, return_inverse=True)
-    sums = [np.bincount(where, weights=np.frombuffer(b"".join(group[c]), "<u4"), minlength=len(distinct)).astype(np.int64) for c in ("main", "tuning")]
+    """Sums over all chunks, for every chunk; and one row (chunk null) of this range's words and tokens.
+
+    A chunk of the tuning fold also gets the sums over the other folds (main).
+    """
+    distinct, where = np.unique(np.frombuffer(b"".join(group["names"]), np.uint64), return_inverse=True)
+    own = [_long(s, g) for s, g in zip(group["short"], group["large"], strict=True)]
+    sums = lambda rows: np.bincount(where, weights=np.concatenate(rows), minlength=len(distinct)).astype(np.int64)
+    total, main = sums(own), sums([c * (not t) for c, t in zip(own, group["tuning"], strict=True)])
     word = (distinct & _U(1)) == 1
-    sizes = np.cumsum([len(x) // 8 for x in group["names"]])[:-1]
+    places = np.split(where, np.cumsum([len(c) for c in own])[:-1])
+    coded = [(_short(total[p]), _short(main[p]) if t else (None, None)) for p, t in zip(places, group["tuning"], strict=True)]
     rows = {"part": [int(group["part"].iloc[0])] * (len(group) + 1), "chunk": [*group["chunk"].tolist(), None]}
-    rows |= {c: [*(x.astype("<u4").tobytes() for x in np.split(s[where], sizes)), None] for c, s in zip(("main", "tuning"), sums, strict=True)}
-    for name, s in (("main", sums[0]), ("train", sums[0] + sums[1])):
-        rows[f"n_{name}"] = [None] * len(group) + [int(s[word].sum())]
-        rows[f"v_{name}"] = [None] * len(group) + [int(np.count_nonzero(s[word]))]
-    return pd.DataFrame(rows).astype({c: "Int64" for c in rows if c not in ("main", "tuning")})
+    for i, name in enumerate(("total", "main")):
+        for j, kind in enumerate(("short", "large")):
+            rows[f"{name}_{kind}"] = [*(c[i][j] for c in coded), None]
+        counts = (total, main)[i][word]
+        rows[f"n_{name}"] = [None] * len(group) + [int(counts.sum())]
+        rows[f"v_{name}"] = [None] * len(group) + [int(np.count_nonzero(counts))]
+    return pd.DataFrame(rows).astype({c: "Int64" for c in rows if c in ("part", "chunk") or c[1] == "_"})
 
 
-_ANSWER = "part int, chunk long, main binary, tuning binary, n_main long, v_main long, n_train long, v_train long"
+_ANSWER = "part int, chunk long, total_short binary, total_large binary, n_total long, v_total long, main_short binary, main_large binary, n_main long, v_main long"
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -162,9 +182,9 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _together(answers: pd.DataFrame, columns: list[str], size: int) -> np.ndarray:
+def _together(answers: pd.DataFrame, name: str, size: int) -> np.ndarray:
     answers = answers.sort_values("part")
-    found = sum(np.frombuffer(b"".join(answers[c]), "<u4").astype(np.int64) for c in columns)
+    found = np.concatenate([_long(s, g) for s, g in zip(answers[f"{name}_short"], answers[f"{name}_large"], strict=True)])
     if len(found) != size:
         raise RuntimeError("a chunk's answers don't fit its n-grams")
     return found
@@ -175,7 +195,7 @@ def _tuning_rows(chunk: pd.DataFrame, answers: pd.DataFrame, n: int) -> pd.DataF
     out = []
     for row in chunk.itertuples():
         grams = _Ngrams(row.folds, row.counts, row.words, row.tokens)
-        pair, context, word = grams.token_counts(_together(answers, ["main"], len(grams.names)))
+        pair, context, word = grams.token_counts(_together(answers, "main", len(grams.names)))
         with np.errstate(divide="ignore", invalid="ignore"):
             p2 = np.where(pair > 0, np.rint(-np.log2(pair / context) * STEPS), -1)
             p1 = np.where(word > 0, np.rint(-np.log2(word / max(n, 1)) * STEPS), -1)
@@ -212,15 +232,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     answers = staged(asked.groupBy("part").applyInPandas(_answer, _ANSWER), "lm-answers")
     del asked
     release(spark)
-    told = answers.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_main", "v_main", "n_train", "v_train")]).first()
+    told = answers.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_main", "v_main", "n_total", "v_total")]).first()
     n_main, v_main, n_train, v_train = told
-    counted = answers.where("chunk is not null").select("part", "chunk", "main", "tuning")
+    counted = answers.where("chunk is not null")
 
     def tuning_rows(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _tuning_rows(left, right, n_main)
 
     tuning = chunks.where("tuning").select("chunk", "folds", "counts", "words", "tokens")
-    own = counted.join(tuning.select("chunk"), "chunk", "left_semi")
+    own = counted.where("main_short is not null").select("part", "chunk", "main_short", "main_large")
     found = tuning.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInPandas(tuning_rows, "bucket long, p2 long, p1 long, n long")
     rows = found.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()  # as many as there are steps, however large the input
     weights = learn_weights([tuple(r) for r in rows], v_main)
@@ -231,7 +251,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         out = []
         for row in left.itertuples():
             grams = _Ngrams(row.folds, row.counts, row.words, row.tokens)
-            pair, context, word = grams.token_counts(_together(right, ["main", "tuning"], len(grams.names)))
+            pair, context, word = grams.token_counts(_together(right, "total", len(grams.names)))
             w = weights[_bucket(context)].T
             p = w[0] * pair / np.maximum(context, 1) + w[1] * word / max(n_train, 1) + w[2] / (v_train + 1)
             base = np.log10((word + 0.1) / (n_train + 0.1 * (v_train + 1)))
@@ -245,4 +265,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     whole = chunks.select("chunk", "ids", "folds", "counts", "words", "tokens")
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(scored, schema)
+    return whole.groupBy("chunk").cogroup(counted.select("part", "chunk", "total_short", "total_large").groupBy("chunk")).applyInPandas(scored, schema)
