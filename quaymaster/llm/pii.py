@@ -29,6 +29,8 @@ from .common import slices, staged
 
 #: Keys that a value may try.
 ATTEMPTS = 30
+#: Exceptions that are sent to all tasks; more are joined to the texts that hold them.
+MAX_SENT = 100_000
 
 # Alphabets whose letters replace each other, titles with their gender, names by script and gender.
 ALPHABETS = ["aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αειουηω", "βγδζθκλμνξπρστφχψ"]
@@ -272,9 +274,11 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
     slot = next(f"entities{i or ''}" for i in range(len(names) + 1) if f"entities{i or ''}" not in names)
     hint = next(f"_again{i}" for i in range(len(names) + 1) if f"_again{i}" not in names)
     again_type = "array<struct<kind: string, value: string, attempt: int>>"
-    if exceptions is None:
+    sent = {} if exceptions is None else {(r["kind"], r["value"]): r["attempt"] for r in exceptions.limit(MAX_SENT + 1).collect()}
+    if len(sent) <= MAX_SENT:
         rows = docs.withColumn(hint, F.lit(None).cast(again_type))
     else:
+        sent = {}
         by_text = found.join(exceptions, ["kind", "value"]).groupBy("at").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(hint))
         rows = docs.join(by_text, where == F.col("at"), "left").select(*[docs[c] for c in names], hint)
     entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -290,7 +294,7 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
                     new.append(text)
                     spans.append([])
                     continue
-                attempts = {(e["kind"], e["value"]): e["attempt"] for e in again or ()}
+                attempts = {(e["kind"], e["value"]): e["attempt"] for e in again} if again else sent
                 parts, at, size, own_spans = [], 0, 0, []
                 for start, end, kind, value in entities:
                     put = rendered(text[start:end], kind, own.of(kind, value, attempts.get((kind, value), 0)))
