@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field.
 
 Documents are labelled, words are not: in labelled toxic documents of the training part, the words
-whose form (the word, or its first letters) tells toxic from other documents are labelled as
-offending, all others as not.  A two-state chain (offending or not) over the words of a sentence is
+whose form (the word, or its first letters) tells toxic from other documents (in contexts that are not
+copies) are labelled as offending, all others as not.  A two-state chain (offending or not) over the words of a sentence is
 fitted to them, with the word and its beginnings and endings as features and with transitions.
 Forward-backward marginals of all words give a document's score, by a logistic map of their sum and
 maximum fitted on the same documents, and the offsets of offending words.
@@ -18,9 +18,8 @@ rows every score is 0; repeated rows are scored one by one; an empty table gives
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,15 @@ from .common import fold, slices, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on, at most.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
-DIMENSIONS = 1 << 18
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
+#: Features that a model keeps: those with the largest weights.
+MAX_FEATURES = 200_000
 #: Longest stretch of words that is one chain.
 CHAIN = 64
 CACHED_WORDS = 500_000
 ROUNDS, RATE, PENALTY = 60, 0.4, 1e-4
-#: A form marks a word if it is in so many toxic documents and its log odds reach this.
-LEAST_DOCUMENTS, LEAST_ODDS = 4, 2.5
+#: A form marks a word if its log odds reach this, and so do its documents' log likelihood ratio against chance.
+LEAST_ODDS, LEAST_EVIDENCE = 2.5, 8.0
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _STOP = (b".", b"!", b"?")
 
@@ -56,20 +56,17 @@ def _forms(word: bytes) -> list[bytes]:
 def features(word: bytes) -> list[int]:
     core = word.strip(_EDGE).decode("utf-8", "replace")
     more = [b"e%d" % n + core[-n:].encode() for n in (3, 4) if len(core) > n]
-    return [xxhash.xxh3_64_intdigest(f) % DIMENSIONS for f in [*_forms(word), *more]]
+    return [xxhash.xxh3_64_intdigest(f) for f in [*_forms(word), *more]]
 
 
 @dataclass
 class Model:
     """Weights of the chain and of the map to a document's score."""
 
+    names: np.ndarray  # of features, sorted
     emission: np.ndarray
     chain: np.ndarray  # start, and transitions clean to offending, offending to clean, offending to offending
     map: np.ndarray  # constant, log of the sum of marginals, their maximum
-    known: dict = field(default_factory=dict, repr=False)
-
-    def score_of(self, word: bytes) -> float:
-        return float(self.emission[features(word)].sum())
 
 
 class _Scores(dict):
@@ -78,9 +75,10 @@ class _Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.weights = dict(zip(model.names.tolist(), model.emission.tolist(), strict=True))
 
     def __missing__(self, word: bytes) -> float:
-        s = self.model.score_of(word)
+        s = sum(self.weights.get(f, 0.0) for f in features(word))
         self[word] = s = s + (1e6 if word.endswith(_STOP) else 0.0)  # the flag rides on the score
         return s
 
@@ -147,30 +145,46 @@ def _aggregate(marginal: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """Fit the chain and the map; ``weight`` says how many documents each one stands for."""
-    split, count = _tokens(texts)
-    inside: Counter[bytes] = Counter()
-    outside: Counter[bytes] = Counter()
-    forms: dict[bytes, list[bytes]] = {}
-    for words, is_toxic in zip(split, toxic.tolist(), strict=True):
-        own = set(words)
-        for w in own:
-            if w not in forms:
-                forms[w] = _forms(w)
-        (inside if is_toxic else outside).update({f for w in own for f in forms[w]})
-    n_in, n_out = int(toxic.sum()), int((~toxic).sum())
-    marks = {f for f, n in inside.items() if n >= LEAST_DOCUMENTS and np.log((n + 0.5) / (n_in + 1)) - np.log((outside[f] + 0.5) / (n_out + 1)) >= LEAST_ODDS}
-
     places: dict[bytes, int] = {}
-    kind = np.fromiter((places.setdefault(w, len(places)) for words in split for w in words), dtype=np.int64, count=int(count.sum()))
-    types = list(places)
-    lists = [features(w) for w in types]
-    flat = np.array([f for fs in lists for f in fs], dtype=np.int64)
-    of = np.repeat(np.arange(len(types)), [len(fs) for fs in lists])
-    marked = np.array([any(f in marks for f in forms[w]) for w in types], dtype=bool)
-    stop = np.array([w.endswith(_STOP) for w in types], dtype=bool)
-    label = (marked[kind] & np.repeat(toxic, count)).astype(np.float64) if len(kind) else np.empty(0)
-
-    model = Model(np.zeros(DIMENSIONS), np.array([-4.0, -4.0, 0.0, 0.0]), np.zeros(3))
+    kinds = [np.fromiter((places.setdefault(w, len(places)) for w in t.lower().split()), dtype=np.int32) for t in texts]
+    count = np.array([len(k) for k in kinds], dtype=np.int64)
+    kind = np.concatenate(kinds)
+    stop = np.fromiter((w.endswith(_STOP) for w in places), dtype=bool, count=len(places))
+    lists = [features(w) for w in places]
+    names, flat = np.unique(np.fromiter((f for fs in lists for f in fs), dtype=np.uint64), return_inverse=True)
+    of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(fs) for fs in lists])
+    del lists
+    # document frequencies of forms in both classes, by places of distinct forms
+    lists = [[xxhash.xxh3_64_intdigest(f) for f in _forms(w)] for w in places]
+    del places
+    sizes = np.array([len(fs) for fs in lists], dtype=np.int64)
+    distinct, form = np.unique(np.fromiter((f for fs in lists for f in fs), dtype=np.uint64), return_inverse=True)
+    del lists
+    begin = np.cumsum(sizes) - sizes
+    frequency = np.zeros((2, len(distinct)))
+    # copies of a text tell nothing new: a word counts once between the same two neighbours
+    context = (kind.astype(np.int64) * 0x9E3779B1 + np.roll(kind, 1)) * 0x85EBCA77 + np.roll(kind, -1)
+    new = np.zeros(len(kind), dtype=bool)
+    new[np.unique(context, return_index=True)[1]] = True
+    del context
+    for own, told, is_toxic in zip(kinds, np.split(new, np.cumsum(count)[:-1]), toxic.tolist(), strict=True):
+        own = np.unique(own[told])
+        n = sizes[own]
+        held = form[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        frequency[int(is_toxic), np.unique(held)] += 1
+    del kinds
+    n_in, n_out = int(toxic.sum()), int((~toxic).sum())
+    odds = np.log((frequency[1] + 0.5) / (n_in + 1)) - np.log((frequency[0] + 0.5) / (n_out + 1))
+    total = frequency.sum(axis=0)
+    chance, share = n_in / max(1, n_in + n_out), frequency[1] / np.maximum(total, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = np.where(frequency[1] > 0, frequency[1] * np.log(share / chance), 0) + np.where(frequency[0] > 0, frequency[0] * np.log((1 - share) / (1 - chance)), 0)
+    marks = (odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)
+    marked = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=marks[form], minlength=len(sizes)) > 0
+    label = (marked[kind] & np.repeat(toxic, count)).astype(np.float64)
+
+    dimensions = len(names)
+    model = Model(names, np.zeros(dimensions), np.array([-4.0, -4.0, 0.0, 0.0]), np.zeros(3))
     if len(kind):
         first, length = _chains(stop[kind], count)
         inner = np.ones(len(kind), dtype=bool)
@@ -180,16 +194,18 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
         weights = np.concatenate([model.emission, model.chain])
         mean, square = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, ROUNDS + 1):
-            emission, chain = weights[:DIMENSIONS], weights[DIMENSIONS:]
-            by_type = np.bincount(of, weights=emission[flat], minlength=len(types))
+            emission, chain = weights[:dimensions], weights[dimensions:]
+            by_type = np.bincount(of, weights=emission[flat], minlength=len(sizes))
             marginal, moves = _marginals(by_type[kind], first, length, chain)
-            error = np.bincount(kind, weights=marginal - label, minlength=len(types))
-            gradient = np.concatenate([np.bincount(flat, weights=error[of], minlength=DIMENSIONS), np.append(marginal[first].sum(), moves) - seen])
+            error = np.bincount(kind, weights=marginal - label, minlength=len(sizes))
+            gradient = np.concatenate([np.bincount(flat, weights=error[of], minlength=dimensions), np.append(marginal[first].sum(), moves) - seen])
             gradient = gradient / len(texts) + PENALTY * weights
             mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
             weights = weights - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        model.emission, model.chain = weights[:DIMENSIONS], weights[DIMENSIONS:]
-        marginal, _ = _marginals(np.bincount(of, weights=model.emission[flat], minlength=len(types))[kind], first, length, model.chain)
+        model.emission, model.chain = weights[:dimensions], weights[dimensions:]
+        if dimensions > MAX_FEATURES:
+            model.emission = np.where(np.abs(model.emission) >= np.partition(np.abs(model.emission), -MAX_FEATURES)[-MAX_FEATURES], model.emission, 0)
+        marginal, _ = _marginals(np.bincount(of, weights=model.emission[flat], minlength=len(sizes))[kind], first, length, model.chain)
     else:
         marginal = np.empty(0)
     rows = _aggregate(marginal, count)
@@ -200,8 +216,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
         curve = (rows * (weight * p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(3)
         move = np.linalg.solve(curve, gradient)
         theta = theta - move * min(1.0, 4 / max(1e-9, np.abs(move).max()))
-    model.map = theta
-    return model
+    used = model.emission != 0
+    return Model(names[used], model.emission[used], model.chain, theta)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -229,12 +245,8 @@ _SPLIT = re.compile(rb"[^\x20\x09-\x0d]+")
 class Tagger:
     """Scores texts with a fitted model; made in each task from its few weights."""
 
-    def __init__(self, weights: tuple | None):
-        self.scores: _Scores | None = None
-        if weights is not None:
-            emission = np.zeros(DIMENSIONS)
-            emission[weights[0]] = weights[1]
-            self.scores = _Scores(Model(emission, weights[2], weights[3]))
+    def __init__(self, model: Model | None):
+        self.scores = None if model is None else _Scores(model)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every text's score; the marginals of all words; and where each text's words begin among them."""
@@ -251,13 +263,11 @@ class Tagger:
         return 1 / (1 + np.exp(-_aggregate(marginal, count) @ model.map)), marginal, np.cumsum(count) - count
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> tuple | None:
+def _fitted(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> Model | None:
     texts, toxic, weight = training_sample(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
     if not len(texts):
         return None
-    model = fit(texts, toxic, weight)
-    used = np.flatnonzero(model.emission)
-    return used.astype(np.int32), model.emission[used].astype(np.float32), model.chain, model.map
+    return fit(texts, toxic, weight)
 
 
 def drop_toxic(
@@ -265,11 +275,11 @@ def drop_toxic(
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    weights = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    model = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(weights)
+        tagger = Tagger(model)
         for batch in slices(batches, text_col):
             chance, _, _ = tagger([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(chance < threshold))
@@ -282,13 +292,13 @@ def score_toxicity(
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
 ) -> DataFrame:
     """id, held_out, score, predicted, and spans: start and end (in characters) and score of offending words."""
-    weights = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    model = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), text_bytes(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(weights)
+        tagger = Tagger(model)
         for batch in slices(batches, "text"):
             texts = batch.column(2).to_pylist()
             chance, marginal, start = tagger(texts)
