@@ -38,12 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The write's shuffle files go as soon as it has ended, since only the written table is read again.
+    ``files`` bounds the number of files of a small result.
     """
     spark = df.sparkSession
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/quaymaster/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     try:
@@ -61,6 +64,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def some(spark: SparkSession) -> int:
+    """Files for a result that is small beside the input: an eighth of the partitions, and never few tasks on a large cluster."""
+    return max(8, partitions(spark) // 8)
+
+
 def fold(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

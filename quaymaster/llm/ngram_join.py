@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, release, slices, staged, text_bytes
+from .common import mix, partitions, release, slices, some, staged, text_bytes
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -192,7 +192,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     component_id is the smallest id reachable by links.
     """
     spark = docs.sparkSession
-    scheme = Scheme(percent)
+    scheme, few = Scheme(percent), some(spark)
     slim = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     stars = entries.where((F.col("key") != F.col("center")) & fits(F.col("n"), F.col("center_n")))
-    stars = staged(stars.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "join-stars")
+    stars = staged(stars.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "join-stars", few)
     wanted = entries.select("key").distinct()
     reps = rows.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key", "left_semi")
 
@@ -247,9 +247,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["key", "tokens", "sketch"])
 
-    some = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
-    sets = staged(some.mapInArrow(tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
-    links = staged(_verified(stars, sets, percent), "join-links")
+    known = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
+    sets = staged(known.mapInArrow(tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
+    links = staged(_verified(stars, sets, percent), "join-links", few)
     release(spark)
 
     label = components(links)
@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         """Rows of the buckets that span components."""
         at = rows.drop("label").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        return staged(at.join(split, "bucket", "left_semi").select("bucket", "key", "n", "role", "label"), name)
+        return staged(at.join(split, "bucket", "left_semi").select("bucket", "key", "n", "role", "label"), name, few)
 
     # Where one center was not enough: each set against some others of the largest of its buckets that span components
     rest = spanning(entries.select("bucket", "key", "n", "role"), label, "join-rest")
@@ -268,8 +268,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     tried = largest.join(buckets.select("bucket", "some"), "bucket").select("key", "n", "label", F.explode("some").alias("c"))
     tried = tried.where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n")))
     tried = tried.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    tried = staged(tried, "join-tried")
-    second = staged(_verified(tried, sets, percent), "join-second")
+    tried = staged(tried, "join-tried", few)
+    second = staged(_verified(tried, sets, percent), "join-second", few)
     if not second.isEmpty():
         links = links.unionByName(second)
         label = components(links)
@@ -286,8 +286,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     apart = F.aggregate(F.zip_with("ps", "is", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     crossing = crossing & (apart * (100 + percent) <= (F.col("pn") + F.col("in")) * (100 - percent))
     across = p.join(i, crossing).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
-    across = staged(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "join-across")
-    more = staged(_verified(across, sets, percent), "join-more")
+    across = staged(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "join-across", few)
+    more = staged(_verified(across, sets, percent), "join-more", few)
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
@@ -308,7 +308,7 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, i
 
     Rows without an id, and rows with an empty set, all stay.  Repeated rows of an id leave one.
     """
-    found = staged(jaccard_components(docs, width, percent, id_col, text_col), "join-components")
+    found = staged(jaccard_components(docs, width, percent, id_col, text_col), "join-components", some(docs.sparkSession))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
