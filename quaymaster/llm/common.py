@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,26 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, step: int = STEP_BY
             at = to
 
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_caches: dict[str, Callable[[], None]] = {}
+_turn = ""
+
+
+def keeps_cache(name: str, clear: Callable[[], None]) -> None:
+    """Name a cache that lives as long as a Python worker."""
+    _caches[name] = clear
+
+
+def take_turn(name: str) -> None:
+    """Called where an operator starts in a worker: the caches of others, whose turn is over, are dropped."""
+    global _turn
+    if _turn != name:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        _turn = name
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, take_turn, text_bytes
 
 Q = 12
 #: A region has so many bytes, or is the whole of a shorter item; and so many edits a byte.
@@ -30,6 +30,8 @@ REGION, EDITS = 100, 0.05
 BAND = 16
 #: Bytes of benchmark text that are sent to the tasks at once; more are taken in blocks.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text whose q-grams are hashed at once.
+STEP = 1 << 20
 _TABLE_BITS = 24
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -48,7 +50,7 @@ def _normal(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     folded[begin[1:] - 1] = 0
     space = folded == 32
     before = np.empty(len(raw), dtype=bool)
-    before[0], before[1:] = True, space[:-1] | (folded[:-1] == 0)
+    before[:1], before[1:] = True, space[:-1] | (folded[:-1] == 0)
     keep = ~(space & before)
     source = np.flatnonzero(keep)
     out = folded[source]
@@ -87,7 +89,7 @@ class Index:
     def __post_init__(self) -> None:
         kept = [(i, t) for i, t in zip(self.ids, self.items, strict=True) if t]
         data, _, begin, _ = _normal([t for _, t in kept])
-        ends = np.append(begin[1:], len(data)) - 1
+        ends = np.append(begin[1:], len(data))[: len(kept)] - 1
         self.ids = [i for i, _ in kept]
         self.items = [data[a:b].tobytes() for a, b in zip(begin, ends, strict=True)]
         rules = [budget(len(t)) for t in self.items]
@@ -232,8 +234,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for ids, texts, _ in _blocks(benchmark, item_col, item_text_col):
 
         def keep(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+            take_turn("decontaminate")
             index = Index(ids, texts)
-            for batch in slices(batches, text_col):
+            for batch in slices(batches, text_col, STEP):
                 found = index.regions([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()])
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[r[0] for r in found]] = False
@@ -252,8 +255,9 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
         item_arrow = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
+            take_turn("decontaminate")
             index = Index(ids, texts)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", STEP):
                 found = index.regions(batch.column(1).to_pylist())
                 if found:
                     text, item, start, end, edits = zip(*found, strict=True)

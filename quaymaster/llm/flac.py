@@ -352,7 +352,7 @@ def decode(media: list[bytes]) -> list[Stream]:
         cursor = at[lanes]
         x[i, lanes] = _signed(reader.take(cursor, 8), 8)
         at[lanes] = cursor
-    coef = np.zeros((max(deepest, 1), n.size), dtype=np.int64)
+    coef = np.zeros((max(deepest, len(FIXED) - 1), n.size), dtype=np.int64)
     shift = np.zeros(n.size, dtype=np.int64)
     for one, taps in FIXED.items():
         for i, c in enumerate(taps):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, staged, text_bytes
+from .common import keeps_cache, slices, staged, take_turn, text_bytes
 
 #: Words whose ids a worker keeps at hand: so many used lately, and as many used before.
 CACHED_WORDS = 400_000
@@ -34,6 +34,14 @@ _tokenizers: dict[str, object] = {}
 _ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
+def _forget() -> None:
+    _ids.clear()
+    _tokenizers.clear()
+
+
+keeps_cache("packing", _forget)
+
+
 def _tokenizer(path: str):
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,6 +57,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary never joins across ASCII white space, so ids of words are kept and joined; only
     words not seen lately run the tokenizer.
     """
+    take_turn("packing")
     cache, older = _ids.setdefault(path, ({}, {}))
     if len(cache) > CACHED_WORDS:
         cache, older = _ids[path] = {}, cache

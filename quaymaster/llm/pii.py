@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import slices, staged, take_turn
 
 #: Keys that a value may try.
 ATTEMPTS = 30
@@ -260,6 +260,7 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
     where = F.xxhash64(text_col)
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("pii")
         for batch in slices(batches, "text"):
             rows = {(h, kind, value) for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for _, _, kind, value in find_entities(text)}
             if rows:
@@ -285,6 +286,7 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
     place = names.index(text_col)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("pii")
         own = Surrogates(key)
         for batch in slices(batches, text_col):
             new, spans = [], []

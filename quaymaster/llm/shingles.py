@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import mix
+from .common import keeps_cache, mix, take_turn
 
 #: Words whose hashes a worker keeps at hand.
 CACHED_WORDS = 300_000
@@ -21,10 +21,12 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+keeps_cache("shingles", _hashes.clear)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words (split at ASCII white space), and the number of words per text."""
+    take_turn("shingles")
     if len(_hashes) > CACHED_WORDS:
         _hashes.clear()
     split = [t.lower().split() for t in texts]

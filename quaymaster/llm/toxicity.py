@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, text_bytes
+from .common import fold, slices, take_turn, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on, at most.
@@ -36,7 +36,7 @@ MAX_TOXIC, MAX_CLEAN = 1000, 2000
 MAX_FEATURES = 200_000
 #: Longest stretch of words that is one chain.
 CHAIN = 64
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 ROUNDS, RATE, PENALTY = 60, 0.4, 1e-4
 #: A form marks a word if its log odds reach this, and so do its documents' log likelihood ratio against chance.
 LEAST_ODDS, LEAST_EVIDENCE = 2.5, 8.0
@@ -246,6 +246,7 @@ class Tagger:
     """Scores texts with a fitted model; made in each task from its few weights."""
 
     def __init__(self, model: Model | None):
+        take_turn("toxicity")
         self.scores = None if model is None else _Scores(model)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

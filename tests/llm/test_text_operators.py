@@ -1,0 +1,339 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quaymaster.llm import decontaminate, flac, lm, media, ngram_join, packing, pii, sharding, toxicity, url_filter
+from quaymaster.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id bigint, text string, lang string, id string, bucket int, rank int"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def corpus(seed=1, n=60):
+    """Invented texts with copies, near copies, null, empty, blank and very long ones, repeated rows and clashing columns."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [r.choice(WORDS) for _ in range(r.choice([1, 2, 3, 4, 6, 30, 80, 200]))]
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(words)))
+        if i % 4 == 0 and len(words) > 20:
+            for k in range(3):
+                near = list(words)
+                for _ in range(r.randint(1, 2)):
+                    near[r.randrange(len(near))] = r.choice(WORDS)
+                rows.append((2000 + 10 * i + k, "\n".join(near).upper()))
+    rows += [(5000, None), (5001, ""), (5002, " \t\n"), (5003, "w1 " * 30000), (None, "w1 w2 w3 w4 w5"), rows[7], rows[7]]
+    return [(i, t, "x", None, 1, 2) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, width):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
+
+
+def brute_components(rows, width, percent):
+    rows = [(i, shingles(t, width)) for i, t in rows if i is not None]
+    group = {i: i for i, _ in rows}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return {i: (len(x), root(i)) for i, x in rows}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 60), (2, 95)])
+def test_join_equals_brute_force(docs, width, percent):
+    got = ngram_join.jaccard_components(docs, width, percent).collect()
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], width, percent)
+    assert len(got) == docs.count()
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["n_shingles"] >= 1
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+
+
+def test_join_of_a_large_near_group(spark):
+    r = random.Random(5)
+    base = [f"a{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(60)] = f"b{r.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_join_keeps_one(docs, none):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_components(rows, 5, 80)
+    kept = ngram_join.keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert kept.where("doc_id is null").count() == 1
+    assert ngram_join.jaccard_components(none).count() == 0
+
+
+def test_signatures_lose_no_link():
+    r = np.random.default_rng(3)
+    scheme = ngram_join.Scheme(85)
+    for _ in range(300):
+        n = int(r.integers(1, 150))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        drop = int(r.integers(0, max(1, len(a) // 6) + 1))
+        b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, int(r.integers(0, max(1, len(a) // 8) + 1)), dtype=np.uint64)]))
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+            continue
+        small, large = sorted((a, b), key=len)
+        (x, rx), (y, ry) = (scheme.signatures(s, r.random(len(s)) * 0.1) for s in (small, large))
+        assert np.intersect1d(x[(rx & 1) > 0], y[(ry & 2) > 0]).size
+
+
+def test_lm_counts_base_and_scores(docs, none, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 500)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    rows = docs.collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tokens = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [None]) for r in rows]
+    count = Counter(t for i, w in tokens if not held(i) for t in w)
+    total, types = sum(count.values()), len(count)
+    want = sorted(
+        (i if i is not None else -1, held(i), len(w), sum(count[t] > 0 for t in w), total, round(sum(math.log10((count[t] + 0.1) / (total + 0.1 * (types + 1))) for t in w), 6)) for i, w in tokens
+    )
+    got = lm.score(docs).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    assert lm.score(none).count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    weights = lm.learn_weights([(3, 4, 12, 10), (3, -1, 20, 5), (0, -1, 9, 3), (2, -1, -1, 1)], 1000)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all() and weights[0, 0] == 0
+    assert weights[3, 0] > weights[2, 0]
+
+
+def test_flac_round_trip_and_damage():
+    r = random.Random(2)
+    payloads = [b"\0" * 64, bytes(r.randrange(256) for _ in range(640)), b"ab" * 320, bytes(range(256)) * 9, b"\xff" * 4096, "Привет, мир. ".encode() * 64 * 20, bytes(r.randrange(256) for _ in range(1024 * 130))]
+    payloads = [p + b"\0" * (-len(p) % 64) for p in payloads]
+    stored = flac.encode(payloads)
+    for stream, payload in zip(flac.decode(stored), payloads, strict=True):
+        assert stream.pcm == payload and stream.offsets == list(range(0, len(payload), flac.BLOCK))
+    for at in (-3, -40):
+        broken = bytearray(stored[3])
+        broken[at] ^= 4
+        with pytest.raises(ValueError, match="FLAC"):
+            flac.decode([bytes(broken)])
+
+
+def test_media_columns(docs, none):
+    stored = media.write_media(docs)
+    want = sorted((len(b), hashlib.sha256(b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))).hexdigest()) for b in ((r["text"] or "").encode() for r in docs.collect()))
+    got = media.media_digests(stored).collect()
+    assert sorted((r["n_bytes"], r["payload_sha256"]) for r in got) == want
+    blocks = media.read_blocks(stored).where("doc_id = 5003").orderBy("block").collect()
+    assert b"".join(r["pcm"] for r in blocks)[:90000] == b"w1 " * 30000
+    assert [r["sample_offset"] for r in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
+    assert media.media_digests(media.write_media(none)).count() == 0
+
+
+def test_packing(docs, none):
+    path = tokenizer_path()
+    rows = packing.pack(docs, path, max_tokens=256).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    want = Counter()
+    tokenizer = packing._tokenizer(path)
+    for r in docs.collect():
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for s in range(0, len(ids), 256):
+            want[r["doc_id"], s, min(256, len(ids) - s), zlib.crc32(ids[s : s + 256].tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
+    by = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        assert r["offset"] == by.get(r["sequence_id"], 0)
+        by[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sorted(by) == list(range(len(by))) and max(by.values()) <= 256
+    assert packing.pack(none, path).count() == 0
+
+
+def test_pack_histogram_places_every_piece():
+    r = random.Random(4)
+    for _ in range(30):
+        counts = {r.randint(1, 100): r.randint(1, 40) for _ in range(r.randint(1, 30))}
+        placed = Counter()
+        for n, pattern in packing.pack_histogram(counts, 100):
+            assert n > 0 and sum(pattern) <= 100
+            placed.update({length: n * k for length, k in Counter(pattern).items()})
+        assert placed == counts
+
+
+def test_encoding_by_words_equals_whole_texts():
+    path = tokenizer_path()
+    r = random.Random(3)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "e\u0301", "'s", "<|endoftext|>", "ΑΣ", "中", "🙂", "23", "!", "\x1c", "\x85", "\u3000", "İ", "don't"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2000)]
+    for text, ids in zip(texts, packing.encode_texts([t.encode() for t in texts], path), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == packing._tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
+def test_sharding(docs, none, spark):
+    rows = sharding.shard_by_bytes(docs, 4).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_by_bytes(none).count() == 0
+    many = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('same', 20) ELSE repeat(CAST(id AS STRING), CAST(id % 50 AS INT)) END AS text")
+    out = sharding.shard_by_bytes(many, 8).collect()
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and max(size.values()) < 1.02 * mean and min(size.values()) > 0.98 * mean
+    plan = sharding.shard_by_bytes(many)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_url_rules(spark):
+    rules = [url_filter.host_rule(v, r) for v, r in [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"), ("block", "a.org/fr/x")]]
+    cases = {
+        "http://X.Example.NET/en/1": ("x.example.net", "/en/1", "example.net/en/", "allow"), "http://example.net/de/": ("example.net", "/de/", "net/", "block"), "http://a.net": ("a.net", "", None, "allow"),
+        "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"), "https://m.example.com/de/?q#f": ("m.example.com", "/de/", "example.com/de/", "block"), "http://example.com/DE/": ("example.com", "/DE/", None, "allow"),
+        "http://a.org/fr/xyz": ("a.org", "/fr/xyz", "a.org/fr/x", "block"), "http://net/": ("net", "/", "net/", "block"), "no url": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"), "x://h?://y/": ("h", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "again")], "page_id bigint, url string, rule string")
+    rows = url_filter.filter_urls(pages, rules).collect()
+    assert len(rows) == len(cases) + 1
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["url"]], r["url"]
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_decontamination(spark, none):
+    r = random.Random(6)
+    item = " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(60))
+    long = " ".join(r.choice(WORDS) for _ in range(300))
+    edited = list(item)
+    for at in (20, 90, 200, 260):
+        edited[at] = "#" if edited[at] == " " else "z"
+    texts = {1: f"{long} {item} {long}", 2: f"{long}\n{item.upper().replace(' ', '  ')}!", 3: f"{long} {''.join(edited)} {long}", 4: long, 5: None, 6: "", 7: f"{item[:60]} {long}", 8: f"{item} {long} {item}", 9: f"x tiny {long}"}
+    docs = spark.createDataFrame([(i, t, "c", None, 1, 2) for i, t in texts.items()], SCHEMA)
+    bench = spark.createDataFrame([(10, item, 1), (11, None, 1), (12, "", 1), (13, "tiny", 1)], "item_id bigint, text string, doc_id int")
+    got = Counter((x["doc_id"], x["item_id"]) for x in decontaminate.contaminated_regions(docs, bench).collect())
+    assert got == {(1, 10): 1, (2, 10): 1, (3, 10): 1, (8, 10): 2, (9, 13): 1}
+    one = decontaminate.contaminated_regions(docs.where("doc_id = 1"), bench).first()
+    assert texts[1][one["start"] : one["end"]] == item and one["edits"] == 0
+    assert sorted(x["doc_id"] for x in decontaminate.drop_contaminated(docs, bench).collect()) == [4, 5, 6, 7]
+    assert decontaminate.contaminated_regions(none, bench).count() == 0
+    assert decontaminate.contaminated_regions(docs, bench.limit(0)).count() == 0
+
+
+def test_toxicity_learns_and_survives(spark, none):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [r.choice(WORDS) for _ in range(r.randint(3, 60))]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(3):
+                words[r.randrange(len(words))] = r.choice(["vile", "rotten", "grimlong" + r.choice("abcdef")])
+        rows.append((i, " ".join(words), "x", None, 1, 2))
+        labels.append((i, int(bad), "y"))
+    rows += [(900, None, "x", None, 1, 2), (901, "", "x", None, 1, 2), (902, "w1 " * 20000, "x", None, 1, 2), (None, "vile", "x", None, 1, 2), (0, rows[0][1], "x", None, 1, 2)]
+    docs, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*labels, (None, 1, "y"), (5, None, "y"), (3, 0, "y")], "doc_id bigint, toxic int, text string")
+    got = toxicity.score_toxicity(docs, table).collect()
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.3) for x in got)
+    held = [x for x in got if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 400]
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2) for x in got if x["doc_id"] is not None)
+    assert sum(x["predicted"] == (x["doc_id"] % 4 == 0) for x in held) > 0.95 * len(held)
+    text = {x[0]: x[1] for x in rows}
+    spans = {text[x["doc_id"]][s["start"] : s["end"]] for x in held for s in x["spans"]}
+    assert {"vile", "rotten"} <= spans
+    kept = toxicity.drop_toxic(docs, table)
+    assert kept.columns == docs.columns and kept.count() == sum(x["predicted"] == 0 for x in got)
+    assert toxicity.score_toxicity(none, table).count() == 0
+    assert {x["score"] for x in toxicity.score_toxicity(docs, table.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_marginals_equal_enumeration():
+    r = np.random.default_rng(1)
+    score, chain = r.normal(size=6), np.array([-0.5, 0.3, -0.2, 0.8])
+    first, length = np.array([0, 4]), np.array([4, 2])
+    got, _ = toxicity._marginals(score, first, length, chain)
+    for a, n in zip(first, length, strict=True):
+        weight = np.zeros((2**n, n))
+        total = np.zeros(2**n)
+        for k in range(2**n):
+            y = [(k >> i) & 1 for i in range(n)]
+            s = chain[0] * y[0] + sum(score[a + i] * y[i] for i in range(n))
+            s += sum(chain[1] * (1 - p) * q + chain[2] * p * (1 - q) + chain[3] * p * q for p, q in zip(y, y[1:], strict=False))
+            weight[k], total[k] = y, np.exp(s)
+        assert np.allclose(got[a : a + n], (weight * total[:, None]).sum(axis=0) / total.sum())
+
+
+def test_pii(spark, none):
+    text = "Mr. John Smith met Frau Anna Müller and Mr Smith. Call +1 (274) 555-9629 or +1 274-555-9629, A.B@Mail.Example.COM or a.b@mail.example.com, 17.57.238.115, 4041894974608795, IBAN DE89 3704 0044 0532 0130 00, ssn 123-45-6789, password=b7db7aa4a5fcc78305."
+    plain = "Version 3.10.2 of 2024-01-05 costs 1234567 and 12.5.2.\nNothing here."
+    docs = spark.createDataFrame([(1, text, "x", None, 1, 2), (2, plain, "x", None, 1, 2), (3, None, "x", None, 1, 2), (4, "", "x", None, 1, 2), (1, text, "x", None, 1, 2), (5, "w " * 50000 + "x@y.org", "x", None, 1, 2)], SCHEMA)
+    out = pii.replace_pii(docs, "key")
+    assert out.columns == [*docs.columns, "entities"]
+    got = out.collect()
+    one = [r for r in got if r["doc_id"] == 1]
+    assert len(one) == 2 and one[0]["text"] == one[1]["text"]
+    new = one[0]["text"]
+    for secret in ("Smith", "John", "Müller", "274", "9629", "a.b@", "A.B@", "17.57.238", "40418949", "3704", "123-45", "b7db7aa"):
+        assert secret not in new, secret
+    spans = [(e["kind"], new[e["start"] : e["end"]]) for e in one[0]["entities"]]
+    assert [k for k, _ in spans] == ["person", "person", "person", "phone", "phone", "email", "email", "ip", "card", "iban", "ssn", "secret"]
+    value = [v for _, v in spans]
+    assert value[0].split()[-1] == value[2] and value[0].split()[0] in pii.GIVEN["latin", "m"] and value[1].split()[0] in pii.GIVEN["latin", "f"]
+    assert [c for c in value[3] if c.isdigit()] == [c for c in value[4] if c.isdigit()] and value[3].startswith("+1 (") and value[4][6] == "-"
+    assert value[5].lower() == value[6] and value[5][0].isupper() and value[6].endswith(".com")
+    assert pii.luhn(value[8][:-1]) == int(value[8][-1]) and pii._mod97(value[9].replace(" ", "")) == 1
+    same = {r["doc_id"]: r["text"] for r in got}
+    assert same[2] == plain and same[3] is None and same[4] == "" and same[5].startswith("w w ") and "x@y.org" not in same[5]
+    assert {r["text"] for r in pii.replace_pii(docs, "other").where("doc_id = 1").collect()} != {new}
+    assert pii.replace_pii(none, "key").count() == 0
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_pii_collisions(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "MAX_SENT", sent)
+    rows = [(i, f"host {i // 60 % 10}.{i % 10}.{i // 10 % 6}.{i % 7} up") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"].split()[1] for r in pii.replace_pii(docs, "key").collect()}
+    real = {t.split()[1] for _, t in rows}
+    pairs = {(t.split()[1], got[i]) for i, t in rows}
+    assert len(pairs) == len(real) == len({s for _, s in pairs}) and not real & {s for _, s in pairs}
+
+
+def test_permutation_is_one():
+    s = pii.Surrogates("k")
+    for size in (1, 2, 10, 777):
+        assert sorted(s.permute(i, size, "n") for i in range(size)) == list(range(size))
