@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import FX_CODES, RUBLE_CODES, WORK_TYPE_ALIASES
@@ -186,21 +186,27 @@ def last_wins(cells: Column) -> Column:
     )
 
 
-def field_value(cells: Column, field: str) -> Column:
-    """The value of the last label that feeds ``field``, in label order; null if there is none."""
-    return F.try_element_at(F.filter(cells, lambda c: label_field(c["label"]) == field), F.lit(-1))["value"]
-
-
-def apply_fields(cells: Column) -> dict[str, Column]:
-    """Typed application fields of (pos, label, value) cells; a failed parse of the last label gives null."""
-    cells = last_wins(cells)
-    pair = int_pair(field_value(cells, "tonnage"))
-    return {
-        "vessel_name": field_value(cells, "vessel_name"),
-        "imo": compact(field_value(cells, "imo")),
-        "gross_tonnage": pair["first"].try_cast("int"),
-        "net_tonnage": pair["second"].try_cast("int"),
-        "entry_datetime": parse_date_time(field_value(cells, "entry")),
-        "exit_datetime": parse_date_time(field_value(cells, "exit")),
-        "destination": field_value(cells, "destination"),
-    }
+def labelled(cells: Column) -> Column:
+    """(field, value) of the labels that feed a field, repeated labels resolved, in label order."""
+    known = F.filter(last_wins(cells), lambda c: label_field(c["label"]).isNotNull())
+    return F.transform(known, lambda c: F.struct(label_field(c["label"]).alias("field"), c["value"].alias("value")))
+
+
+def with_fields(df: DataFrame, cells: Column) -> DataFrame:
+    """``df`` with the typed application fields of (pos, label, value) cells.
+
+    Of the labels that feed a field the last in label order wins, also where its value fails to parse.
+    The cells are resolved once, in a column of their own that all fields read.
+    """
+    value = lambda field: F.try_element_at(F.filter("_fields", lambda c: c["field"] == field), F.lit(-1))["value"]
+    texts = {f"_{f}": value(f) for f in ("imo", "tonnage", "entry", "exit")}
+    df = df.withColumn("_fields", labelled(cells)).withColumns({"vessel_name": value("vessel_name"), "destination": value("destination"), **texts})
+    df = df.withColumn("_pair", int_pair(F.col("_tonnage"))).withColumns({
+        "imo": compact(F.col("_imo")), "gross_tonnage": F.col("_pair.first").try_cast("int"), "net_tonnage": F.col("_pair.second").try_cast("int"),
+        "entry_datetime": parse_date_time(F.col("_entry")), "exit_datetime": parse_date_time(F.col("_exit")),
+    })
+    return df.drop("_fields", "_pair", *texts)
+
+
+#: The columns that ``with_fields`` adds.
+FIELDS = ["vessel_name", "imo", "gross_tonnage", "net_tonnage", "entry_datetime", "exit_datetime", "destination"]

@@ -184,8 +184,8 @@ def detect_direction(spark: SparkSession, d: str) -> DataFrame:
 def fields_from_text(spark: SparkSession, d: str) -> DataFrame:
     when = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" в 04:30")))
     text = F.concat(F.lit("Заявка\n\nНазвание судна\n  VESSEL  "), F.col("o_custkey"), F.lit("\n№ ИМО "), F.col("o_orderkey"), F.lit("\r\nБрутто/нетто "), F.col("o_custkey"), F.lit(" / 10\nДата/время входа "), when, F.lit("\n"))
-    fields = t.apply_fields(t.text_fields(text))
-    return ad.load(spark, d, "orders").select("o_orderkey", fields["vessel_name"].alias("vessel_name"), fields["imo"].alias("imo"), fields["gross_tonnage"].alias("gross_tonnage"), F.date_format(fields["entry_datetime"], "yyyy-MM-dd HH:mm").alias("entry"))
+    rows = t.with_fields(ad.load(spark, d, "orders"), t.text_fields(text))
+    return rows.select("o_orderkey", "vessel_name", "imo", "gross_tonnage", F.date_format("entry_datetime", "yyyy-MM-dd HH:mm").alias("entry"))
 
 
 @_query(
@@ -202,8 +202,8 @@ def label_last_wins(spark: SparkSession, d: str) -> DataFrame:
         cell(3, "Порт входа", F.when(F.col("o_orderkey") % 3 == 0, "Азов").otherwise("20.07.2026 04:00")),
     )
     cells = F.when(even, cells).otherwise(F.concat(cells, F.array(cell(4, "название судна 2", F.lit("other")))))
-    fields = t.apply_fields(cells)
-    return ad.load(spark, d, "orders").select("o_orderkey", fields["vessel_name"].alias("vessel_name"), F.date_format(fields["entry_datetime"], "yyyy-MM-dd HH:mm").alias("entry"))
+    rows = t.with_fields(ad.load(spark, d, "orders"), cells)
+    return rows.select("o_orderkey", "vessel_name", F.date_format("entry_datetime", "yyyy-MM-dd HH:mm").alias("entry"))
 
 
 @_query("durations_hm", f"WITH {ad.VOUCHERS_SQL} SELECT id, {o.hm(o.minutes('left_base_dt', 'arrived_base_dt'))} AS busy, {o.hm(o.minutes('started_dt', 'finished_dt') + ' * 97')} AS work FROM vouchers")
@@ -351,8 +351,7 @@ _HTML = "concat('<p>ЗАЯВКА</p><table><tr><td>№</td><td>Перечень<
 @_query("html_table_fields", "SELECT c_custkey, c_name AS vessel_name, CAST(c_custkey AS INT) AS gross_tonnage, CAST(7 AS INT) AS net_tonnage FROM customer")
 def html_table_fields(spark: SparkSession, d: str) -> DataFrame:
     page = ad.load(spark, d, "customer").select("c_custkey", F.expr(_HTML.format("STRING")).alias("html"))
-    fields = t.apply_fields(F.col("cells"))
-    return documents.html_fields(page, "html", "c_custkey").select("c_custkey", *[fields[f].alias(f) for f in ("vessel_name", "gross_tonnage", "net_tonnage")])
+    return t.with_fields(documents.html_fields(page, "html", "c_custkey"), F.col("cells")).select("c_custkey", "vessel_name", "gross_tonnage", "net_tonnage")
 
 
 @_query("eml_ingest", "SELECT c_custkey, 'вход' AS direction, c_name AS vessel_name, CAST(c_custkey AS INT) AS gross_tonnage, '2026-07-19 10:00' AS received FROM customer")

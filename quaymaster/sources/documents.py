@@ -135,10 +135,10 @@ def html_fields(df: DataFrame, html_col: str, key_col: str) -> DataFrame:
 
 def application_row(mails: DataFrame) -> DataFrame:
     """Typed application rows of decoded documents, as an upload stores them."""
-    fields = t.apply_fields(F.when(F.col("is_html"), F.col("cells")).otherwise(t.text_fields(F.col("raw_text")).cast(_CELL)))
-    return mails.select(
+    cells = F.when(F.col("is_html"), F.col("cells")).otherwise(t.text_fields(F.col("raw_text")).cast(_CELL))
+    return t.with_fields(mails, cells).select(
         F.lit("needs_review").alias("status"), F.lit("upload").alias("source"), "sender", "subject", "received_at",
-        t.detect_direction(F.col("raw_text"), F.col("subject")).alias("direction"), *[c.alias(n) for n, c in fields.items()],
+        t.detect_direction(F.col("raw_text"), F.col("subject")).alias("direction"), *t.FIELDS,
         F.lit(None).cast("string").alias("tugs_text"), F.lit(None).cast("string").alias("agent"), "raw_text", F.col("path").alias("file_path"),
     )
 
