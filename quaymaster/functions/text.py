@@ -151,17 +151,22 @@ def has_fx_code(currency: Column) -> Column:
     return F.upper(currency).isin(FX_CODES)
 
 
-def text_fields(text: Column) -> Column:
-    """Label and value of the known labels in a plain text, as an array of (pos, label, value) without missing ones."""
+def with_text_cells(df: DataFrame, text: Column, name: str = "cells") -> DataFrame:
+    """``df`` with the known labels of a plain text as an array of (pos, label, value), without missing ones.
+
+    A value is what follows its label on the line, or the next line, within 60 characters.
+    """
     lines = F.filter(F.transform(F.split(text, _LINES), strip), lambda line: line != "")
-    joined = F.array_join(lines, "\n")
+    df = df.withColumn("_joined", F.array_join(lines, "\n"))
+    places = {f"_at{i}": F.instr(F.col("_joined"), label) for i, label in enumerate(TEXT_LABELS)}
+    tails = {f"_tail{i}": F.when(F.col(f"_at{i}") > 0, F.split(F.substr(F.col("_joined"), F.col(f"_at{i}") + len(label), F.lit(60)), "\n")) for i, label in enumerate(TEXT_LABELS)}
     found = []
     for i, label in enumerate(TEXT_LABELS):
-        at = F.instr(joined, label)
-        tail = F.split(F.substr(joined, at + len(label), F.lit(60)), "\n")
+        tail = F.col(f"_tail{i}")
         value = F.coalesce(blank_to_null(clean(F.get(tail, F.lit(0)))), blank_to_null(clean(F.get(tail, F.lit(1)))))
-        found.append(F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), F.when(at > 0, value).alias("value")))
-    return F.filter(F.array(*found), lambda f: f["value"].isNotNull())
+        found.append(F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), value.alias("value")))
+    df = df.withColumns(places).withColumns(tails).withColumn(name, F.filter(F.array(*found), lambda f: f["value"].isNotNull()))
+    return df.drop("_joined", *places, *tails)
 
 
 def label_field(label: Column) -> Column:
@@ -186,9 +191,9 @@ def last_wins(cells: Column) -> Column:
     )
 
 
-def labelled(cells: Column) -> Column:
-    """(field, value) of the labels that feed a field, repeated labels resolved, in label order."""
-    known = F.filter(last_wins(cells), lambda c: label_field(c["label"]).isNotNull())
+def labelled(resolved: Column) -> Column:
+    """(field, value) of the labels that feed a field, of resolved cells, in label order."""
+    known = F.filter(resolved, lambda c: label_field(c["label"]).isNotNull())
     return F.transform(known, lambda c: F.struct(label_field(c["label"]).alias("field"), c["value"].alias("value")))
 
 
@@ -200,12 +205,12 @@ def with_fields(df: DataFrame, cells: Column) -> DataFrame:
     """
     value = lambda field: F.try_element_at(F.filter("_fields", lambda c: c["field"] == field), F.lit(-1))["value"]
     texts = {f"_{f}": value(f) for f in ("imo", "tonnage", "entry", "exit")}
-    df = df.withColumn("_fields", labelled(cells)).withColumns({"vessel_name": value("vessel_name"), "destination": value("destination"), **texts})
+    df = df.withColumn("_cells", cells).withColumn("_cells", last_wins(F.col("_cells"))).withColumn("_fields", labelled(F.col("_cells"))).withColumns({"vessel_name": value("vessel_name"), "destination": value("destination"), **texts})
     df = df.withColumn("_pair", int_pair(F.col("_tonnage"))).withColumns({
         "imo": compact(F.col("_imo")), "gross_tonnage": F.col("_pair.first").try_cast("int"), "net_tonnage": F.col("_pair.second").try_cast("int"),
         "entry_datetime": parse_date_time(F.col("_entry")), "exit_datetime": parse_date_time(F.col("_exit")),
     })
-    return df.drop("_fields", "_pair", *texts)
+    return df.drop("_cells", "_fields", "_pair", *texts)
 
 
 #: The columns that ``with_fields`` adds.

@@ -184,7 +184,7 @@ def detect_direction(spark: SparkSession, d: str) -> DataFrame:
 def fields_from_text(spark: SparkSession, d: str) -> DataFrame:
     when = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" в 04:30")))
     text = F.concat(F.lit("Заявка\n\nНазвание судна\n  VESSEL  "), F.col("o_custkey"), F.lit("\n№ ИМО "), F.col("o_orderkey"), F.lit("\r\nБрутто/нетто "), F.col("o_custkey"), F.lit(" / 10\nДата/время входа "), when, F.lit("\n"))
-    rows = t.with_fields(ad.load(spark, d, "orders"), t.text_fields(text))
+    rows = t.with_fields(t.with_text_cells(ad.load(spark, d, "orders"), text), F.col("cells"))
     return rows.select("o_orderkey", "vessel_name", "imo", "gross_tonnage", F.date_format("entry_datetime", "yyyy-MM-dd HH:mm").alias("entry"))
 
 

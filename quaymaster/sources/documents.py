@@ -135,7 +135,8 @@ def html_fields(df: DataFrame, html_col: str, key_col: str) -> DataFrame:
 
 def application_row(mails: DataFrame) -> DataFrame:
     """Typed application rows of decoded documents, as an upload stores them."""
-    cells = F.when(F.col("is_html"), F.col("cells")).otherwise(t.text_fields(F.col("raw_text")).cast(_CELL))
+    mails = t.with_text_cells(mails, F.when(~F.col("is_html"), F.col("raw_text")), "_text_cells")
+    cells = F.when(F.col("is_html"), F.col("cells")).otherwise(F.col("_text_cells").cast(_CELL))
     return t.with_fields(mails, cells).select(
         F.lit("needs_review").alias("status"), F.lit("upload").alias("source"), "sender", "subject", "received_at",
         t.detect_direction(F.col("raw_text"), F.col("subject")).alias("direction"), *t.FIELDS,

@@ -71,7 +71,7 @@ def test_forms(spark):
 
 def test_text_fields_and_last_wins(spark):
     text = "Заявка\n\nНазвание судна\n  CUMBRIAN  II\n№ ИМО : 92 98\r\nБрутто/нетто 8446 / 4053\nДата/время входа 20.07.2026 в 04:00"
-    got = t.with_fields(spark.createDataFrame([(text,)], "x string"), t.text_fields(F.col("x"))).first()
+    got = t.with_fields(t.with_text_cells(spark.createDataFrame([(text,)], "x string"), F.col("x")), F.col("cells")).first()
     assert (got["vessel_name"], got["imo"], got["gross_tonnage"], got["net_tonnage"]) == ("CUMBRIAN II", ":9298", 8446, 4053)
     assert got["entry_datetime"] == datetime(2026, 7, 20, 4) and got["exit_datetime"] is None
     cells = "array(named_struct('pos', 0, 'label', 'Дата входа', 'value', '20.07.2026 04:00'), named_struct('pos', 1, 'label', 'Стоимость', 'value', '1 2'), named_struct('pos', 2, 'label', 'Порт входа', 'value', 'x'), named_struct('pos', 3, 'label', 'Стоимость', 'value', '3 4'))"
