@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,6 +64,15 @@ def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, however long the texts are.
+
+    The bound is a setting of the session, which batches are made under when the result is run.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

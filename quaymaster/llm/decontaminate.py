@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, take_turn, text_bytes
+from .common import arrow_map, slices, take_turn, text_bytes
 
 Q = 12
 #: A region has so many bytes, or is the whole of a shorter item; and so many edits a byte.
@@ -242,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean[[r[0] for r in found]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = arrow_map(docs, keep, docs.schema)
     return docs
 
 
@@ -266,6 +266,6 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                         names=["id", "item", "start", "end", "edits"],
                     )
 
-        part = slim.mapInArrow(search, f"id {id_kind}, item {item_kind}, start long, end long, edits long")
+        part = arrow_map(slim, search, f"id {id_kind}, item {item_kind}, start long, end long, edits long")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix, release, slices, staged, text_bytes
+from .common import arrow_map, fold, mix, release, slices, staged, text_bytes
 from .shingles import word_hashes
 
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
@@ -77,7 +77,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     )
                     serial += 1
 
-    return slim.mapInArrow(cut, f"chunk long, tuning boolean, ids array<{kind}>, folds binary, counts binary, words binary, tokens binary")
+    return arrow_map(slim, cut, f"chunk long, tuning boolean, ids array<{kind}>, folds binary, counts binary, words binary, tokens binary")
 
 
 class _Ngrams:
@@ -149,7 +149,7 @@ def _requests(chunks: DataFrame, bits: int) -> DataFrame:
                     names=["part", "chunk", "tuning", "names", "short", "large"],
                 )
 
-    return chunks.mapInArrow(ask, "part int, chunk long, tuning boolean, names binary, short binary, large binary")
+    return arrow_map(chunks, ask, "part int, chunk long, tuning boolean, names binary, short binary, large binary")
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import slices, text_bytes
+from .common import arrow_map, slices, text_bytes
 
 UNIT = 64
 STEP = 4 << 20
@@ -37,7 +37,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             padded = [t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\0") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(flac.encode(padded), pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return slim.mapInArrow(write, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return arrow_map(slim, write, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def read_blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -58,7 +58,7 @@ def read_blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 names=[id_col, "block", "sample_offset", "n_samples", "pcm"],
             )
 
-    return slim.mapInArrow(read, f"`{id_col}` {kind}, block int, sample_offset long, n_samples int, pcm binary")
+    return arrow_map(slim, read, f"`{id_col}` {kind}, block int, sample_offset long, n_samples int, pcm binary")
 
 
 def feature(pcm: bytes) -> str:
@@ -85,4 +85,4 @@ def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[id_col, "n_bytes", *names])
 
-    return slim.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(slim, digest, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

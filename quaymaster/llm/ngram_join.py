@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, release, slices, some, staged, text_bytes
+from .common import arrow_map, mix, partitions, release, slices, some, staged, text_bytes
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), verify, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,9 +228,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 flat = np.concatenate(buckets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.concatenate(owners)), pa.array(np.concatenate(nrs)), pa.nulls(len(flat), batch.schema.field(0).type)], names=["bucket", "key", "nr", "id"])
 
-    signed = slim.mapInArrow(sign, f"bucket long, key long, nr int, id {kind}")
+    signed = arrow_map(slim, sign, f"bucket long, key long, nr int, id {kind}")
     dealt = signed.repartition(partitions(spark), "bucket").withColumn("quiet", (F.col("nr").bitwiseAND(2) == 0)).sortWithinPartitions("bucket", "quiet", "key").drop("quiet")
-    found = staged(dealt.mapInArrow(_buckets, f"bucket long, key long, n int, role byte, center long, center_n int, id {kind}"), "join-found")
+    found = staged(arrow_map(dealt, _buckets, f"bucket long, key long, n int, role byte, center long, center_n int, id {kind}"), "join-found")
     del signed, dealt
     release(spark)
     rows = found.where("role = 0").select("id", "key", F.col("n").cast("long").alias("n"))
@@ -248,7 +248,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["key", "tokens", "sketch"])
 
     known = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
-    sets = staged(known.mapInArrow(tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
+    sets = staged(arrow_map(known, tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
     links = staged(_verified(stars, sets, percent), "join-links", few)
     release(spark)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keeps_cache, slices, staged, take_turn, text_bytes
+from .common import arrow_map, keeps_cache, slices, staged, take_turn, text_bytes
 
 #: Words whose ids a worker keeps at hand: so many used lately, and as many used before.
 CACHED_WORDS = 400_000
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: in
             at, *values = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, values)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return slim.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_map(slim, cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[int, list[int]]]:
@@ -161,4 +161,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int
                 seq[at], offset[at] = base[k] + rank[at] - first[k], place[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow_map(ranked, place, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, take_turn
+from .common import arrow_map, slices, staged, take_turn
 
 #: Keys that a value may try.
 ATTEMPTS = 30
@@ -234,7 +234,7 @@ def _surrogate_table(entities: DataFrame, key: str) -> DataFrame:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.of(k, v, a) for k, v, a in rows], pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
-    return entities.mapInArrow(make, "kind string, value string, attempt int, surrogate string")
+    return arrow_map(entities, make, "kind string, value string, attempt int, surrogate string")
 
 
 def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
@@ -268,7 +268,7 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["at", "kind", "value"])
 
     texts = docs.where(F.col(text_col).isNotNull()).select(where.alias("at"), F.col(text_col).alias("text"))
-    found = staged(texts.mapInArrow(detect, "at long, kind string, value string").distinct(), "pii-found")
+    found = staged(arrow_map(texts, detect, "at long, kind string, value string").distinct(), "pii-found")
     exceptions = _exceptions(found.select("kind", "value").distinct(), key)
 
     names = docs.columns
@@ -310,4 +310,4 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, entity)], names=[*names, slot])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(replace, f"{fields}, `{slot}` array<struct<kind: string, start: long, end: long>>")
+    return arrow_map(rows, replace, f"{fields}, `{slot}` array<struct<kind: string, start: long, end: long>>")

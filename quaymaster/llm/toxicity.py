@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, take_turn, text_bytes
+from .common import arrow_map, fold, slices, take_turn, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on, at most.
@@ -285,7 +285,7 @@ def drop_toxic(
             chance, _, _ = tagger([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(chance < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)
 
 
 def score_toxicity(
@@ -316,5 +316,5 @@ def score_toxicity(
                 names=["id", "held_out", "score", "predicted", "spans"],
             )
 
-    out = slim.mapInArrow(tag, f"id {kind}, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, score: double>>")
+    out = arrow_map(slim, tag, f"id {kind}, held_out boolean, score double, predicted int, spans array<struct<start: long, end: long, score: double>>")
     return out.withColumnRenamed("id", id_col)

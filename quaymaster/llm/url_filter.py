@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Rules travel to the executors with the task; this bounds their number.
 MAX_RULES = 1_000_000
 
@@ -89,7 +91,7 @@ def token_counts(pages: DataFrame, tokens: set[str], url_col: str = "url") -> di
                 seen.update(tokens.intersection(_TOKEN.findall(host + path)))
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    found = pages.select(F.col(url_col)).mapInArrow(count, "token string, n long")
+    found = arrow_map(pages.select(F.col(url_col)), count, "token string, n long")
     return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -108,4 +110,4 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
             columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[id_col, "url", "host", "path", "rule", "verdict"])
 
-    return slim.mapInArrow(judge, f"`{id_col}` {kind}, url string, host string, path string, rule string, verdict string")
+    return arrow_map(slim, judge, f"`{id_col}` {kind}, url string, host string, path string, rule string, verdict string")
