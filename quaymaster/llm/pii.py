@@ -1,7 +1,7 @@
 """PII: surrogate generation.
 
-Detected entities (e-mail and IPv4 addresses, telephone, card, account and social-security numbers, secrets
-that are named as such, and persons after a title) receive keyed replacements of the same type, script,
+Detected entities (e-mail and IPv4 addresses, telephone, card, account and social-security numbers, access keys,
+secrets that are named as such, and persons after a title) receive keyed replacements of the same type, script,
 length and format.  The characters that vary form a number in a mixed radix, which a keyed permutation of
 exactly that range (a Feistel network with cycle walking) maps to another: different values get different
 surrogates by construction, and a value the same one wherever and however it is written.  Check digits
@@ -53,11 +53,14 @@ _ALPHABET = {c: a for a in ALPHABETS for c in a}
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])")
-_CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
+_CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/.]{8,})")
 _SECRET_NAMES = ("assw", "ecret", "oken", "pwd", "_key", "-key", "ikey", "ASSW", "ECRET", "OKEN", "PWD", "_KEY", "-KEY")
+# Prefixes of access keys, and what follows them.
+_KEY = re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![\w-])")
+_KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 _PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)?)(?!\w)")
 _ANY_DIGIT = re.compile(r"[0-9]")
 
@@ -103,6 +106,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), "iban", account))
     if any(s in text for s in _SECRET_NAMES):
         found += ((m.start(1), m.end(1), "secret", m.group(1)) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m.group(1)))
+    if any(p in text for p in _KEY_PREFIXES):
+        found += ((m.start(), m.end(), "key", m.group()) for m in _KEY.finditer(text))
     if any(f"{t} " in text or f"{t}. " in text for t in TITLES):
         for m in _PERSON.finditer(text):
             names = m.group(2).split(" ")
@@ -189,12 +194,14 @@ class Surrogates:
             return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
         if kind == "ssn":
             return self.spelled(value, ["0123456789"] * 9, f"ssn/{attempt}")
-        if kind == "secret":
+        if kind in ("secret", "key"):
+            head = next((p for p in _KEY_PREFIXES if kind == "key" and value.startswith(p)), "")
+            value = value[len(head) :]
             if all(c in HEX for c in value):
-                return self.spelled(value, [HEX] * len(value), f"hex/{attempt}/{len(value)}")
+                return head + self.spelled(value, [HEX] * len(value), f"hex/{attempt}/{head}/{len(value)}")
             plain = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
             chosen = [next((a for a in plain if c in a), c) for c in value]
-            return self.spelled(value, chosen, f"secret/{attempt}/{''.join(a[0] for a in chosen)}")
+            return head + self.spelled(value, chosen, f"secret/{attempt}/{head}/{''.join(a[0] for a in chosen)}")
         gender, given, surname = value.split("/")
         script = "cyrillic" if any("а" <= c <= "я" for c in (given + surname).lower()) else "latin"
         chosen = [_ALPHABET.get(c, c) for c in surname]
@@ -210,7 +217,7 @@ def rendered(original: str, kind: str, surrogate: str) -> str:
     if kind == "person":
         _, given, family = surrogate.split("/")
         return f"{given} {family}" if given else family
-    if kind in ("ip", "secret"):
+    if kind in ("ip", "secret", "key"):
         return surrogate
     if kind == "email":
         return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate, strict=False)) if len(original) == len(surrogate) else surrogate
