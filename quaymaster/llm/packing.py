@@ -63,7 +63,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
         cache, older = _ids[path] = {}, cache
     split = [t.split() for t in texts]
     missing = []
-    for word in {w for words in split for w in words if w not in cache}:
+    for word in set().union(*split).difference(cache):
         if word in older:
             cache[word] = older[word]
         else:
@@ -71,7 +71,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     if missing:
         found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
         cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(missing, found, strict=True))
-    return [b"".join([cache[w] for w in words]) for words in split]
+    return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
