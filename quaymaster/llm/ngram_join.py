@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, mix, partitions, release, slices, some, staged, text_bytes
@@ -168,8 +168,14 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 _FOUND = ["bucket", "key", "n", "role", "center", "center_n", "id"]
 
 
+def _close(x: str, y: str, n: Column, percent: int) -> Column:
+    """Whether two sketches differ in no more cells than linked sets of ``n`` tokens together may."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return apart * (100 + percent) <= n * (100 - percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are linked."""
+    """Those pairs (a, b) whose sets are linked; only pairs with close sketches get their whole sets."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "x"):
@@ -180,6 +186,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (x.size + y.size - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
+    light = sets.select("key", "n", "sketch")
+    x = light.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"))
+    y = light.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"))
+    pairs = pairs.join(x, "a").join(y, "b").where(_close("as", "bs", F.col("an") + F.col("bn"), percent)).select("a", "b")
     x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), verify, "a long, b long")
@@ -245,10 +255,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["key", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], names=["key", "tokens", "sketch", "n"])
 
     known = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
-    sets = staged(arrow_map(known, tokens, "key long, tokens binary, sketch array<long>"), "join-sets").dropDuplicates(["key"])
+    sets = staged(arrow_map(known, tokens, "key long, tokens binary, sketch array<long>, n long"), "join-sets").dropDuplicates(["key"])
     links = staged(_verified(stars, sets, percent), "join-links", few)
     release(spark)
 
@@ -283,8 +293,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     i = i.select("bucket", F.col("key").alias("i"), F.col("n").alias("in"), F.col("label").alias("il"), "ib", F.col("sketch").alias("is"))
     crossing = (p["bucket"] == i["bucket"]) & (F.col("pl") != F.col("il")) & (F.col("in") <= F.col("pn")) & fits(F.col("pn"), F.col("in"))
     crossing = crossing & (F.array_min(F.array_intersect("pb", "ib")) == p["bucket"])
-    apart = F.aggregate(F.zip_with("ps", "is", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    crossing = crossing & (apart * (100 + percent) <= (F.col("pn") + F.col("in")) * (100 - percent))
+    crossing = crossing & _close("ps", "is", F.col("pn") + F.col("in"), percent)
     across = p.join(i, crossing).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     across = staged(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "join-across", few)
     more = staged(_verified(across, sets, percent), "join-more", few)
