@@ -5,8 +5,9 @@ it.  For every node the pages of the host tell how its content varies: a node wh
 page to page has a low entropy-based importance, one whose contents are each page's own a high one; and a
 branch node's importance adds how its children's layout varies.  Branches of low importance are removed
 from every page.  Where too few pages share a node to tell, and besides, the roles of elements decide
-(menus, footers, forms, adverts and so on by tag, class, id or role).  Content of an article element
-goes by roles only, as pages of a host may be copies of one article.
+(menus, footers, forms, adverts and so on by tag, class, id or role); what roles remove anyway is not
+counted.  Pages of a host may be copies of one article, so nodes inside an article that makes up half of its
+page are counted over distinct article texts, and a page that would be left with nothing keeps its article.
 
 Statistics are counted over distinct page contents of a host, aggregated before every shuffle; a page gets
 only its host's list of removed nodes.
@@ -50,6 +51,7 @@ NOISE_WORDS = frozenset(
     "footer foot header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus "
     "respond reply replies share sharing social related recommended widget toolbar pagination pager skip disclaimer copyright".split()
 )
+ARTICLE_NOISE = frozenset("ad ads advert advertisement comment comments reply replies related recommended sponsored promo promotion widget".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 _CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "option", "button", "optgroup", "legend"}
@@ -80,6 +82,8 @@ def _child(parent: _Node, tag: str, attributes: str) -> _Node:
             kind = m[1].lower()
             name += f"[{kind}={_DIGITS.sub('0', value)}]"
             if tag in ("article", "main", "body", "html"):
+                # their classes often tell the site's theme; a comment or teaser is named by a whole class
+                noise = noise or (tag == "article" and kind == "class" and not ARTICLE_NOISE.isdisjoint(value.split()))
                 continue
             noise = noise or (value in NOISE_ROLES if kind == "role" else not NOISE_WORDS.isdisjoint(_WORD.findall(value)))
     return _Node(tag, f"{parent.path}/{name}", noise, article)
@@ -175,13 +179,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for url, raw in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host, page = _hash(split_url(url)[0]), np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64).item()
                 layout: dict[str, list[str]] = {}
-                for path, _, article, text in blocks(raw.decode("utf-8", "replace")):
-                    if article:
-                        continue  # judged by roles
-                    rows.add((host, _hash(path), _hash(text), page, False))
+                outside: set[str] = set()
+                left = [(path, article, text) for path, noise, article, text in blocks(raw.decode("utf-8", "replace")) if not noise]
+                # the same for all copies of an article, unless it is but a small part of its page
+                own = [text for _, article, text in left if article]
+                copy = _hash("\0".join(own)) if 2 * sum(map(len, own)) >= sum(len(text) for *_, text in left) else page
+                for path, article, text in left:
+                    rows.add((host, _hash(path), _hash(text), copy if article else page, False))
                     parent, _, name = path.rpartition("/")
                     layout.setdefault(parent, []).append(name)
-                rows.update((host, _hash(parent), _hash(" ".join(names)), page, True) for parent, names in layout.items() if parent)
+                    if not article:
+                        outside.add(parent)
+                rows.update((host, _hash(parent), _hash(" ".join(names)), page if parent in outside else copy, True) for parent, names in layout.items() if parent)
             host, path, feature, page, branch = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (host, path, feature, page)), pa.array(branch, pa.bool_())], names=["host", "path", "feature", "page", "branch"])
 
@@ -190,8 +199,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
     by_feature = seen.groupBy(*node, "feature").agg(F.count(F.lit(1)).alias("k"))
     by_node = seen.select(*node, "page").distinct().groupBy(*node).agg(F.count(F.lit(1)).alias("pages"))
     # leaves: 1 less the mean entropy of their contents over the pages; branches: the entropy of their layouts
-    share = F.col("k") / F.col("pages")
-    entropy = by_feature.join(by_node, node).groupBy(*node, "pages").agg(F.avg(F.log("k")).alias("spread"), F.sum(-share * F.log(share)).alias("layout"))
+    # (the sum of -k/pages * log(k/pages), with pages taken out, so that a node's many contents are summed before the join)
+    sums = by_feature.groupBy(*node).agg(F.avg(F.log("k")).alias("spread"), F.sum("k").alias("ks"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    layout = (F.col("ks") * F.log("pages") - F.col("klogk")) / F.col("pages")
+    entropy = sums.join(by_node, node).withColumn("layout", layout)
     whole = F.log(F.greatest("pages", F.lit(2)))
     importance = F.when(F.col("pages") == 1, 1.0).when(F.col("branch"), F.least(F.lit(1.0), F.col("layout") / whole)).otherwise(1 - F.col("spread") / whole)
     return entropy.select(*node, "pages", importance.alias("importance"))
@@ -231,19 +242,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = []
             for raw, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 low = frozenset(low or ())
-                kept = []
+                kept, own = [], []
                 for path, noise, article, text in blocks(raw.decode("utf-8", "replace")):
                     if noise:
                         continue
-                    if low and not article:
+                    if article:
+                        own.append(text)
+                    if low:
                         if path not in known:
                             known[path] = _hash(path)
                         if known[path] in low:
                             continue
-                    kept.append((article, text))
-                if any(a for a, _ in kept):  # a page with an article is that article
-                    kept = [k for k in kept if k[0]]
-                texts.append(" ".join(t for _, t in kept))
+                    kept.append(text)
+                texts.append(" ".join(kept or own))
             if len(known) > 100_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, url_col, "text", "n_chars"])

@@ -38,6 +38,21 @@ def test_style_tree_removes_what_recurs(spark):
     assert tree[0]["importance"] == pytest.approx(0) and tree[-1]["importance"] == pytest.approx(1)
 
 
+def test_style_tree_acts_inside_and_beside_articles(spark):
+    box = "<div class='box'>thank you for reading all of this, come again</div>"
+    rows = [(i, f"http://s.org/{i}", page(i, f"<article><h1>Head {i}</h1><p>own words {i}</p>{box}</article>"), "h", 0) for i in range(12)]
+    # the main text is no article, the teaser is one
+    rows += [(100 + i, f"http://t.org/{i}", page(i, f"<div class='story'>a longer story of its own, number {i}</div><article class='card'>read this too</article><article class='comment'>nice {i}</article>"), "h", 0) for i in range(12)]
+    # copies of one article within different pages
+    rows += [(200 + i, f"http://c.org/{i}", page(i, f"<div class='ad'>ad {i}</div><article><p>one text</p><p>in two parts</p></article>"), "h", 0) for i in range(12)]
+    # near copies of one article: all that stays of a page is its article
+    rows += [(300 + i, f"http://n.org/{i}", page(i, "<article>" + "".join(f"<p>part {k}{' new' * (k == i)}</p>" for k in range(12)) + "</article>"), "h", 0) for i in range(12)]
+    text = {r["page_id"]: r["text"] for r in h.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(12):
+        assert text[i] == f"Head {i} own words {i}" and text[100 + i] == f"a longer story of its own, number {i}" and text[200 + i] == "one text in two parts"
+        assert text[300 + i] == " ".join(f"part {k}{' new' * (k == i)}" for k in range(12))
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not here")
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
