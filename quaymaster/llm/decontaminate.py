@@ -3,8 +3,10 @@
 Texts and benchmark items are compared as lower-cased words with single spaces (ASCII case, spacing and
 punctuation don't count).  A region of ``w`` bytes of an item that stands in a text with at most ``e``
 edits shares at least w + 1 - q * (e + 1) of its q-grams with it, on diagonals at most ``e`` apart.
-Shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound are aligned
-within their band, and regions within the edit budget are returned.
+Shared q-grams are counted in overlapping bands of diagonals.  In bands that reach the bound the fewest
+edits of every window of ``w`` bytes are found by banded edit distance; a region is a run of windows that
+each keep to ``e`` edits.  Windows of 120 to 180 bytes, with 6 to 9 edits, are looked at as well: so every
+stretch of ``w`` bytes or more with at most 5 % edits holds a window (one of 200 bytes falls into such parts).
 
 Edge cases: null and empty texts and items have no regions; an item shorter than a q-gram is looked
 for as it stands, between word ends; repeated rows give repeated results; an item that stands twice in
@@ -32,6 +34,8 @@ BAND = 16
 BLOCK_BYTES = 32 << 20
 #: Bytes of text whose q-grams are hashed at once.
 STEP = 1 << 20
+#: Windows of an item that are aligned at once.
+WINDOWS = 1 << 14
 _TABLE_BITS = 24
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -79,6 +83,12 @@ def budget(size: int) -> tuple[int, int, int]:
     return w, e, max(1, w + 1 - Q * (e + 1))
 
 
+def windows(size: int) -> list[tuple[int, int]]:
+    """Windows of an item of ``size`` bytes and their edits: at each size from which on one more edit is allowed."""
+    step = round(1 / EDITS)
+    return [budget(size)[:2], *((w, w // step) for w in range(REGION + step, min(size, 2 * REGION - 1) + 1, step))]
+
+
 @dataclass
 class Index:
     """The q-grams of a block of items."""
@@ -94,6 +104,7 @@ class Index:
         self.items = [data[a:b].tobytes() for a, b in zip(begin, ends, strict=True)]
         rules = [budget(len(t)) for t in self.items]
         self.region, self.edits, self.bound = (np.array(c, dtype=np.int64) for c in zip(*rules, strict=True)) if rules else (np.empty(0, np.int64),) * 3
+        self.spread = np.array([windows(len(t))[-1][1] for t in self.items], dtype=np.int64)
         self.short = [i for i, t in enumerate(self.items) if 0 < len(t) < Q]
         hashes, item, place = [], [], []
         for i, t in enumerate(self.items):
@@ -125,7 +136,7 @@ class Index:
             at, item, place = np.repeat(at, count), self.item[entry], self.place[entry]
             diagonal = at - place + REGION * 1000  # never below 0
             band = diagonal // BAND
-            low = diagonal % BAND < self.edits[item]  # also in the overlap of the band before
+            low = diagonal % BAND < self.spread[item]  # also in the overlap of the band before
             item, band = np.concatenate([item, item[low]]), np.concatenate([band, band[low] - 1])
             key, shared = np.unique(item << 40 | band, return_counts=True)
             key = key[shared >= self.bound[key >> 40]]
@@ -139,12 +150,13 @@ class Index:
                 if (at == 0 or whole[at - 1] in b"\0 ") and whole[end] in b"\0 ":
                     found.add((int(np.searchsorted(begin, at, side="right")) - 1, item, at, end, 0))
                 at = whole.find(self.items[item], at + 1)
-        # of overlapping regions of an item the longest stays, then that with the fewest edits
+        # of overlapping regions of an item the longest stays, where an edit weighs as much as half of the bytes that allow it; ends may reach over by their edits
         out: list[tuple[int, int, int, int, int]] = []
         taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for text, item, a, b, edits in sorted(found, key=lambda r: (r[0], r[1], r[2] - r[3], r[4], r[2])):
+        for text, item, a, b, edits in sorted(found, key=lambda r: (r[0], r[1], r[2] - r[3] + r[4] / EDITS / 2, r[4], r[2])):
             spans = taken.setdefault((text, item), [])
-            if all(b <= x or a >= y for x, y in spans):
+            slack = min(edits, int(self.spread[item]))
+            if all(b - slack <= x or a + slack >= y for x, y in spans):
                 spans.append((a, b))
                 lo, hi = int(source[a] - raw_begin[text]), int(source[b - 1] - raw_begin[text])
                 head = texts[text][:lo].decode("utf-8", "ignore")
@@ -155,8 +167,8 @@ class Index:
     def _aligned(self, data: np.ndarray, begin: np.ndarray, item: int, diagonal: int) -> Iterator[tuple[int, int, int, int, int]]:
         """Regions of ``item`` on diagonals from ``diagonal`` on, by alignment within the band."""
         pattern = self.items[item]
-        edits = int(self.edits[item])
-        lo, hi = max(0, diagonal), min(len(data), diagonal + len(pattern) + BAND + 2 * edits)
+        edits, spread = int(self.edits[item]), int(self.spread[item])
+        lo, hi = max(0, diagonal), min(len(data), diagonal + len(pattern) + BAND + 2 * spread)
         # all texts that the band touches; nearly always one
         first, last = (int(np.searchsorted(begin, x, side="right")) - 1 for x in (lo, max(lo, min(hi, len(data)) - 1)))
         for text in range(first, last + 1):
@@ -169,53 +181,68 @@ class Index:
             if at >= 0:
                 yield text, item, a + at, a + at + len(pattern), 0
                 continue
-            got = banded(pattern, data[a:b], diagonal - a, BAND + edits, int(self.region[item]))
-            if got is not None:
-                start, end, n = got
-                yield text, item, a + start, a + end, n
+            if edits:
+                for region, most in windows(len(pattern)):
+                    for start, end, n in stretches(pattern, data[a:b], diagonal - a, BAND + spread, region, most):
+                        yield text, item, a + start, a + end, n
 
 
-def banded(pattern: bytes, text: np.ndarray, diagonal: int, width: int, region: int) -> tuple[int, int, int] | None:
-    """The best stretch of ``pattern`` in ``text`` on diagonals [diagonal, diagonal + width]: start, end, edits.
+def banded(pattern: bytes, text: np.ndarray, diagonal: int, width: int, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``region`` bytes of ``pattern`` that may touch ``text``: place in the pattern, fewest edits, start and end in the text.
 
-    A local alignment that gains 1 for an equal byte and loses 1 / EDITS - 1 for an edit; None if no
-    stretch of ``region`` bytes keeps the budget.  A row of the table is one byte of the pattern.
+    Alignments keep to the diagonals [diagonal, diagonal + width].  All windows advance together, a byte at a
+    time; a cell holds its edits and, in the low bits, the diagonal that its alignment began on.
     """
-    loss = 1 / EDITS / 2
     size = width + 1
-    minus = -1e9
-    score, start, edits, length = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-    best: tuple[float, int, int, int] | None = None
-    offsets = np.arange(size)
-    for i, byte in enumerate(pattern):
-        j = i + diagonal + offsets  # the text's byte at each place of the band
-        inside = (j >= 0) & (j < len(text))
-        equal = inside & (text[np.clip(j, 0, len(text) - 1)] == byte)
-        diag = np.where(inside, score + np.where(equal, 1.0, -loss), minus)
-        new_start, new_edits, new_length = start.copy(), edits + ~equal, length + 1
-        # a byte of the pattern without one of the text: from the next diagonal of the row before
-        up = np.append(score[1:] - loss, minus)
-        better = up > diag
-        diag = np.where(better, up, diag)
-        for mine, old in ((new_start, start), (new_edits, edits + 1), (new_length, length + 1)):
-            mine[better] = np.append(old[1:], 0)[better]
-        # a byte of the text without one of the pattern: along the row, by a running maximum
-        lifted = diag + loss * offsets
-        top = np.maximum.accumulate(lifted)
-        origin = np.maximum.accumulate(np.where(lifted >= top, offsets, 0))
-        diag = top - loss * offsets
-        new_start, new_length = new_start[origin], new_length[origin]
-        new_edits = new_edits[origin] + (offsets - origin)
-        fresh = diag <= 0
-        score = np.where(fresh, 0.0, diag)
-        start = np.where(fresh, j + 1, new_start)
-        edits, length = np.where(fresh, 0, new_edits), np.where(fresh, 0, new_length)
-        good = (length >= region) & (edits <= EDITS * length) & inside
-        if good.any():
-            k = int(np.argmax(np.where(good, score, minus)))
-            if best is None or score[k] > best[0]:
-                best = (float(score[k]), int(start[k]), int(j[k]) + 1, int(edits[k]))
-    return best[1:] if best else None
+    bits = size.bit_length()
+    one = 1 << bits
+    first, last = max(0, -diagonal - size - region + 1), min(len(pattern) - region, len(text) - diagonal)
+    parts = [(np.empty(0, np.int64),) * 4]
+    own = np.frombuffer(pattern, np.uint8)
+    offsets = np.arange(size, dtype=np.int32)
+    for begin in range(first, last + 1, WINDOWS):
+        places = np.arange(begin, min(begin + WINDOWS, last + 1))
+        # the text's bytes at each place of the band; beyond its ends stands what equals nothing and costs as much as no byte
+        base = begin + diagonal
+        there = np.full(len(places) + region + size, 256, np.int16)
+        lo, hi = max(0, base), min(len(text), base + len(there))
+        if lo < hi:
+            there[lo - base : hi - base] = text[lo:hi]
+        view = np.lib.stride_tricks.sliding_window_view(there, size)
+        cell = np.repeat(offsets[None, :], len(places), axis=0)
+        for i in range(region):
+            byte = own[begin + i : begin + i + len(places), None]
+            new = cell + (view[i : i + len(places)] != byte) * np.int32(one)
+            # a byte of the pattern without one of the text: from the next diagonal of the row before
+            np.minimum(new[:, :-1], cell[:, 1:] + one, out=new[:, :-1])
+            # a byte of the text without one of the pattern: along the row, by a running minimum
+            cell = np.minimum.accumulate(new - one * offsets, axis=1) + one * offsets
+        at = size - 1 - np.argmin(cell[:, ::-1], axis=1)
+        best = cell[np.arange(len(places)), at]
+        start, end = places + diagonal + (best & (one - 1)), places + diagonal + region + at
+        parts.append((places, (best >> bits).astype(np.int64), np.clip(start, 0, len(text)), np.clip(end, 0, len(text))))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def stretches(pattern: bytes, text: np.ndarray, diagonal: int, width: int, region: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """Start, end and edits of every longest run of windows of ``pattern`` in ``text`` with ``most`` edits each."""
+    places, edits, start, end = banded(pattern, text, diagonal, width, region)
+    good = np.flatnonzero(edits <= most)
+    for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+        if not len(run):
+            continue
+        a, b = int(run[0]), int(run[-1])
+        # windows that reach over the ends of the stretch
+        while a < b and edits[a + 1] < edits[a]:
+            a += 1
+        while a < b and edits[b - 1] < edits[b]:
+            b -= 1
+        if a == b:
+            yield int(start[a]), int(end[a]), int(edits[a])
+            continue
+        whole = pattern[int(places[a]) : int(places[b]) + region]
+        _, n, x, y = banded(whole, text, diagonal + int(places[a]), width, len(whole))
+        yield int(x[0]), int(y[0]), int(n[0])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[bytes], str]]:

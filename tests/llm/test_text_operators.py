@@ -254,6 +254,52 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated_regions(docs, bench.limit(0)).count() == 0
 
 
+def distance(window, text):
+    """The fewest edits between ``window`` and any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(window, 1):
+        above, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(above[j - 1] + (c != t), above[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_windows_equal_brute_force():
+    r = random.Random(8)
+    for size, region in ((30, 30), (40, 24), (25, 20)):
+        for edits in (0, 2, 4):
+            pattern = [r.choice(b"abcd") for _ in range(size)]
+            text = list(pattern)
+            for _ in range(edits):
+                at = r.randrange(len(text))
+                text[at : at + r.randint(0, 1)] = [r.choice(b"abcd")] * r.randint(0, 2)
+            text = [r.choice(b"abcd") for _ in range(7)] + text
+            places, got, _, _ = decontaminate.banded(bytes(pattern), np.array(text, np.uint8), -size, size + len(text), region)
+            assert places.tolist() == list(range(size - region + 1))
+            assert got.tolist() == [distance(pattern[p : p + region], text) for p in places]
+
+
+@pytest.mark.parametrize("size", [24, 60, 99, 100, 120, 149])
+def test_edits_at_every_place_are_found(size):
+    r = random.Random(size)
+    item = "".join(r.choice("abcdefghijklm") for _ in range(size))
+    around = "".join(r.choice("nopqrs ") for _ in range(150))
+    _, edits, _ = decontaminate.budget(size)
+    index = decontaminate.Index([7], [item.encode()])
+    for n in range(1, edits + 1):
+        texts = [f"{around} {item[:at]}{'xyzuv'[:n]}{item[at + n:]} {around}".encode() for at in range(size - n + 1)]
+        texts += [f"{around} {item[:at]}{item[at + n:]} {around}".encode() for at in range(size - n + 1)]
+        found = index.regions(texts)
+        assert sorted(f[0] for f in found) == list(range(len(texts)))
+        assert all(f[4] <= edits for f in found)
+    # one edit more than the item's own windows allow, in its middle: only a longer stretch keeps the budget
+    n = int(size * decontaminate.EDITS) + 1
+    for k in {n, n - 1} if size > 100 else {n}:
+        at = size // 2 - k // 2
+        got = index.regions([f"{around} {item[:at]}{'xyzuvwxyz'[:k]}{item[at + k:]} {around}".encode()])
+        assert bool(got) == (k < n)
+
+
 def test_toxicity_learns_and_survives(spark, none):
     r = random.Random(8)
     rows, labels = [], []
