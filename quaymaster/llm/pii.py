@@ -9,7 +9,9 @@ are made to hold where they held.  A person's given name comes from a list of it
 surname keeps its vowels and consonants in place.
 
 Collisions are checked over all rows: a surrogate that is a value of the data, or that another value got
-too, makes the value try again under the next key; only such exceptions travel to the texts that need them.
+too, makes the value try again under the next key, until none is left; only such exceptions travel to the texts
+that need them.  A given name that tries again often becomes a double, triple, ... name of the list, so persons
+never run out of names; where another range has no free value, an error is raised.
 
 Edge cases: a null text stays null and an empty one empty, both without entities; overlapping finds go to
 the earlier, then the longer; repeated rows give repeated results; an empty table gives no rows.
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, staged, take_turn
 
-#: Keys that a value may try.
+#: Rounds without fewer collisions after which a range counts as full.
 ATTEMPTS = 30
+#: Attempts that a person makes with so many given names before one more is added, and an address in its own letters.
+WIDEN = 3
 #: Exceptions that are sent to all tasks; more are joined to the texts that hold them.
 MAX_SENT = 100_000
 
@@ -163,6 +167,12 @@ class Surrogates:
         same = list
         if kind == "email":
             head, dot, top = value.rpartition(".")
+            if attempt >= WIDEN:  # few letters to vary, or none
+                x, letters = self._hash("email", attempt, value), []
+                for _ in range(20):
+                    x, i = divmod(x, 26)
+                    letters.append("abcdefghijklmnopqrstuvwxyz"[i])
+                return f"{''.join(letters[:12])}@{''.join(letters[12:])}{dot}{top}"
             name = f"email/{attempt}/{''.join('0' if c.isdigit() else 'a' if c in _ALPHABET else c for c in value)}"
             letters = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"}
             return self.spelled(head, [letters.get(c) or _ALPHABET.get(c, c) for c in head], name) + dot + top
@@ -209,7 +219,11 @@ class Surrogates:
         if not given:
             return f"{gender}//{family}"
         names = GIVEN[script, gender]
-        return f"{gender}/{names[self._hash('given', attempt, given.lower(), gender) % len(names)]}/{family}"
+        x, chosen = self._hash("given", attempt, given.lower(), gender), []
+        for _ in range(1 + attempt // WIDEN):
+            x, i = divmod(x, len(names))
+            chosen.append(names[i])
+        return f"{gender}/{'-'.join(chosen)}/{family}"
 
 
 def rendered(original: str, kind: str, surrogate: str) -> str:
@@ -248,18 +262,23 @@ def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
     """kind, value and attempt of those values whose first surrogate collides; None if there are none."""
     values = entities.select("kind", "value")
     current = staged(_surrogate_table(values.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
-    some = None
-    for _ in range(ATTEMPTS):
+    some, fewest, idle = None, None, 0
+    while True:
         real = current.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").where("kind <> 'person'").select("kind", "value")
         shared = current.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("keeps")).where("n > 1")
         shared = current.join(shared, ["kind", "surrogate"]).where(F.col("value") != F.col("keeps.value")).select("kind", "value")
         bad = staged(real.unionByName(shared).distinct(), "pii-collisions")
-        if bad.isEmpty():
-            break
+        left = bad.count()
+        if not left:
+            return some
+        idle = 0 if fewest is None or left < fewest else idle + 1
+        fewest = left if fewest is None else min(fewest, left)
+        if idle >= ATTEMPTS:
+            kinds = ", ".join(sorted(r["kind"] for r in bad.select("kind").distinct().collect()))
+            raise ValueError(f"{left} values have no free surrogate in their range: {kinds}")
         again = current.join(bad, ["kind", "value"], "left_semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         current = staged(current.join(bad, ["kind", "value"], "left_anti").unionByName(_surrogate_table(again, key)), "pii-surrogates")
         some = current.where("attempt > 0").select("kind", "value", "attempt")
-    return some
 
 
 def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

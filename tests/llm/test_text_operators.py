@@ -379,6 +379,22 @@ def test_pii_collisions(spark, monkeypatch, sent):
     assert len(pairs) == len(real) == len({s for _, s in pairs}) and not real & {s for _, s in pairs}
 
 
+def test_more_given_names_than_the_list_holds(spark):
+    given = [f"{a}{b}{c}" for a in "BDKLM" for b in "aeo" for c in "nrs"]
+    cyrillic = ["Анна", "Борис", "Вера", "Глеб", "Дарья", "Егор", "Жанна"]
+    docs = spark.createDataFrame([(i, f"Dr {g} Smith was there") for i, g in enumerate(given)] + [(100 + i, f"Prof {g} Иванов") for i, g in enumerate(cyrillic)] + [(200, "write to 日@本.jp")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs, "key").collect()}
+    assert len(set(got.values())) == len(got) and len({t.split()[2] for i, t in got.items() if i < 100}) == 1
+    assert got[200].endswith(".jp") and "日" not in got[200]
+
+
+def test_a_full_range_raises(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    docs = spark.createDataFrame([(i, f"password=........{i}") for i in range(10)], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="secret"):
+        pii.replace_pii(docs, "key")
+
+
 def test_permutation_is_one():
     s = pii.Surrogates("k")
     for size in (1, 2, 10, 777):
