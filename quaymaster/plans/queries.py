@@ -256,6 +256,11 @@ def match_min_0_5(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d, 0.5, only=7)
 
 
+@_query("match_min_0_5_all", _match_sql(0.5))
+def match_min_0_5_all(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d, 0.5)
+
+
 @_query(
     "match_view",
     f"""WITH m AS ({_match_sql(0.2, "WHERE id = 7")}), {ad.APPLICATIONS_SQL}, {ad.VOUCHERS_SQL}, {ad.TUGS_SQL}

@@ -32,5 +32,11 @@ def test_query_equals_sql(spark, name):
     assert canonical(QUERIES[name](spark, str(DATA)).toPandas()) == canonical(connection.sql(ORACLE_SQL[name]).df())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_matching_of_all_applications_equals_sql(spark):
+    test_query_equals_sql(spark, "match_min_0_5_all")
+    assert QUERIES["match_min_0_5_all"](spark, str(DATA)).select("application_id").distinct().count() > 1
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
