@@ -49,15 +49,30 @@ FX_CODES = ["USD", "EUR"]
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds of pricing; ``from_conf`` reads them from ``spark.quaymaster.*``."""
+    """Settings of an installation; ``from_conf`` reads them from ``spark.quaymaster.*``.
+
+    The thresholds steer pricing; ``data_dir`` is the root of the domain tables and of the landing folders.
+    """
 
     night_start_hour: int = 22
     night_end_hour: int = 6
     gross_tonnage_threshold: int = 2000
+    ue_currency: str = "USD"
+    data_dir: str = "data"
+    application_sender: str = "agency@sodru.com"
 
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Settings:
-        return cls(**{f: int(spark.conf.get(f"spark.quaymaster.{f}", str(getattr(cls, f)))) for f in cls.__dataclass_fields__})
+        kinds = {f: type(getattr(cls, f)) for f in cls.__dataclass_fields__}
+        return cls(**{f: kind(spark.conf.get(f"spark.quaymaster.{f}", str(getattr(cls, f)))) for f, kind in kinds.items()})
+
+    @property
+    def applications_dir(self) -> str:
+        return f"{self.data_dir}/incoming/applications"
+
+    @property
+    def vouchers_dir(self) -> str:
+        return f"{self.data_dir}/incoming/vouchers"
 
 
 def tariffs(spark: SparkSession) -> DataFrame:

@@ -14,8 +14,20 @@ _DATE_TIME = r"(\d{2})\.(\d{2})\.(\d{4}).{0,3}?(\d{1,2}):(\d{2})"
 TEXT_LABELS = ["Название судна", "№ ИМО", "Брутто/нетто", "Дата/время входа", "Дата/время выхода", "Пункт назначения"]
 
 
+#: White space at the ends of a text, the information separators among it.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(_BLANKS))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one where a column of ``frames`` has it already."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def clean(x: Column) -> Column:
@@ -76,15 +88,27 @@ def direction_to_work_type(x: Column) -> Column:
     return F.when(x == "вход", "швартовка").when(x == "выход", "отшвартовка").otherwise(x)
 
 
-def normalize_work_type(x: Column) -> Column:
-    """The exact alias, else the first alias that the text holds, else the text; null and '' are null, blanks are ''."""
-    t = F.lower(strip(x))
-    case = F.when(x.isNull() | (x == ""), F.lit(None).cast("string"))
+def _canonical(low: Column) -> Column:
+    case = F.when(low.isNull(), low)
     for alias, canonical in WORK_TYPE_ALIASES:
-        case = case.when(t == alias, canonical)
+        case = case.when(low == alias, canonical)
     for alias, canonical in WORK_TYPE_ALIASES:
-        case = case.when(t.contains(alias), canonical)
-    return case.otherwise(t)
+        case = case.when(low.contains(alias), canonical)
+    return case.otherwise(low)
+
+
+def _low(x: Column) -> Column:
+    return F.when(x != "", F.lower(strip(x)))
+
+
+def normalize_work_type(x: Column) -> Column:
+    """The exact alias, else the first alias that the text holds, else the text; null and '' are null, blanks are ''."""
+    return F.transform(F.array(_low(x)), _canonical)[0]  # bound once, however many aliases look at it
+
+
+def with_work_type(df: DataFrame, x: Column, name: str) -> DataFrame:
+    """``df`` with the normalised ``x``: the same in two projections, which generated code runs."""
+    return df.withColumn(name, _low(x)).withColumn(name, _canonical(F.col(name)))
 
 
 def tug_count(joint_with: Column) -> Column:

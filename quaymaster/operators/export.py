@@ -17,9 +17,12 @@ COLUMNS = [
 SHEET = "Работы"
 
 
-def works_frame(works: DataFrame, tugs: DataFrame, vouchers: DataFrame, applications: DataFrame) -> DataFrame:
-    """The export's rows in id order; numbers stay numbers (null prints as blank)."""
-    w = numbered(works, "id", "_number")
+def works_frame(works: DataFrame, tugs: DataFrame, vouchers: DataFrame, applications: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The export's rows in id order; numbers stay numbers (null prints as blank).
+
+    ``ids`` holds the works' ids from a cheaper plan, where ``works`` is a priced one.
+    """
+    w = numbered(works, "id", "_number", ids)
     w = w.join(tugs.select(F.col("id").alias("tug_id"), F.col("name").alias("_tug")), "tug_id", "left")
     w = w.join(vouchers.select(F.col("id").alias("voucher_id"), F.col("number").alias("_voucher_number"), F.col("file_path").alias("_voucher_file")), "voucher_id", "left")
     w = w.join(applications.select(F.col("id").alias("application_id"), F.col("file_path").alias("_application_file")), "application_id", "left")
@@ -48,13 +51,19 @@ def csv_frame(frame: DataFrame) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """UTF-8 with a byte-order mark before the header, in part files; the rows keep their order by number.
+    """One CSV in part files: put together in the order of their names they are the file.
 
-    Every file starts with the mark and the header, as readers of one file expect.
+    UTF-8 with one byte-order mark and one header, both in the first part; the rows are in order of their number,
+    and no task holds more than its part.
     """
-    frame = csv_frame(frame)
-    first = "﻿" + frame.columns[0]
-    frame.repartitionByRange(F.col("`#`").cast("long")).sortWithinPartitions(F.col("`#`").cast("long")).withColumnRenamed("#", first).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+    def quoted(c: str) -> F.Column:
+        x = F.col(f"`{c}`")
+        return F.when(x.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+
+    lines = csv_frame(frame).select(F.col("`#`").cast("long").alias("at"), F.concat_ws(",", *[quoted(c) for c in frame.columns]).alias("value"))
+    names = ",".join(f'"{c}"' if "," in c else c for c in frame.columns)
+    head = frame.sparkSession.createDataFrame([(0, "\ufeff" + names)], lines.schema)
+    lines.unionByName(head).repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
 
 
 def xlsx_bytes(frame: DataFrame) -> bytes:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 
@@ -16,14 +17,8 @@ REASONS = ["совпадает судно", "совпадает вид рабо
 
 
 def _features(apps: DataFrame, vouchers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = apps.select(
-        F.col("id").alias("application_id"), t.norm_name(F.col("vessel_name")).alias("a_name"),
-        t.normalize_work_type(t.direction_to_work_type(F.col("direction"))).alias("a_type"), F.to_date(F.coalesce("entry_datetime", "exit_datetime")).alias("a_day"),
-    )
-    v = vouchers.select(
-        F.col("id").alias("voucher_id"), t.norm_name(F.col("vessel_name")).alias("v_name"),
-        t.normalize_work_type(F.col("work_type")).alias("v_type"), F.to_date(F.coalesce("started_dt", "finished_dt")).alias("v_day"),
-    )
+    a = apps.select(F.col("id").alias("application_id"), t.norm_name(F.col("vessel_name")).alias("a_name"), t.normalize_work_type(t.direction_to_work_type(F.col("direction"))).alias("a_type"), F.to_date(F.coalesce("entry_datetime", "exit_datetime")).alias("a_day"))
+    v = vouchers.select(F.col("id").alias("voucher_id"), t.norm_name(F.col("vessel_name")).alias("v_name"), t.normalize_work_type(F.col("work_type")).alias("v_type"), F.to_date(F.coalesce("started_dt", "finished_dt")).alias("v_day"))
     return a, v
 
 
@@ -32,7 +27,8 @@ def match_candidates(apps: DataFrame, vouchers: DataFrame, min_score: float = 0.
 
     A threshold is a boolean form of "same name", "same type" and "same day"; each disjunct is an equality
     join of its own, which leaves out the pairs of those before it, so nothing is deduplicated.  Only a
-    threshold of 0 or less asks for all pairs.
+    threshold of 0 or less asks for all pairs.  Thresholds above 0 up to 0.3 ask for all pairs of a work type
+    or of a day: a page's feature, meant for few applications.
     """
     a, v = _features(apps, vouchers)
     name = (F.col("a_name") == F.col("v_name")) & (F.col("a_name") != "")
@@ -66,8 +62,8 @@ def match_candidates(apps: DataFrame, vouchers: DataFrame, min_score: float = 0.
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
-    """Best first; of equal scores the smaller voucher id."""
-    return candidates.orderBy("application_id", F.desc("score"), "voucher_id")
+    """Every application's candidates with their rank: best first; of equal scores the smaller voucher id."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("application_id").orderBy(F.desc("score"), "voucher_id"))).orderBy("application_id", "rank")
 
 
 def create_works(accepted: DataFrame, apps: DataFrame, vouchers: DataFrame) -> DataFrame:

@@ -9,6 +9,12 @@ from .. import dims
 from ..functions import text as t
 
 
+#: What pricing reads of a work, what it results in, and all columns that it sets.
+INPUTS = ["agent", "work_type", "gross_tonnage", "started_dt", "finished_dt", "left_base_dt", "arrived_base_dt", "is_ice", "escort_hours", "tug_count"]
+RESULTS = ["amount", "currency", "cbr_rate", "revenue_rub"]
+PRICED = {*RESULTS, "work_minutes", "busy_minutes", "calc_note", "calc_error", "pricing"}
+
+
 def is_night(ts: Column, settings: dims.Settings) -> Column:
     return (F.hour(ts) >= settings.night_start_hour) | (F.hour(ts) < settings.night_end_hour)
 
@@ -24,18 +30,21 @@ def price_works(works: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, s
     """``works`` with work_minutes, busy_minutes, amount, currency, cbr_rate, revenue_rub, calc_note, calc_error and pricing.
 
     ``works`` has agent, work_type, gross_tonnage, started_dt, finished_dt, left_base_dt, arrived_base_dt,
-    is_ice, escort_hours and tug_count; its other columns stay.  Where calc_error is set, the results are
-    null.  Tariffs are small fixed tables and broadcast; Spark decides for the rates and the calendar by size.
+    is_ice, escort_hours and tug_count; its other columns stay, but for results of an earlier pricing, which the
+    new ones replace.  Where calc_error is set, the results are null.  The fixed tariffs are small and broadcast;
+    for tables that are passed, and for the rates and the calendar, Spark decides by size.
     """
     spark = works.sparkSession
     settings = settings or dims.Settings.from_conf(spark)
-    tariffs = dims.tariffs(spark) if tariffs is None else tariffs
-    operation_tariffs = dims.operation_tariffs(spark) if operation_tariffs is None else operation_tariffs
-    kept = works.columns
+    tariffs = F.broadcast(dims.tariffs(spark)) if tariffs is None else tariffs
+    operation_tariffs = F.broadcast(dims.operation_tariffs(spark)) if operation_tariffs is None else operation_tariffs
+    kept = [c for c in works.columns if c.lower() not in PRICED]
 
+    # all columns ride in one, so that no name of theirs can meet one of these
+    df = works.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_work"), *INPUTS)
     ice, agent = F.coalesce("is_ice", F.lit(False)), F.coalesce("agent", F.lit(""))
-    df = works.withColumns({
-        "_ice": ice, "_agent": agent, "_type": t.normalize_work_type(F.col("work_type")), "_ref": F.coalesce("started_dt", "finished_dt"),
+    df = t.with_work_type(df, F.col("work_type"), "_type").withColumns({
+        "_ice": ice, "_agent": agent, "_ref": F.coalesce("started_dt", "finished_dt"),
         "work_minutes": t.minutes_between(F.col("started_dt"), F.col("finished_dt")), "busy_minutes": t.minutes_between(F.col("left_base_dt"), F.col("arrived_base_dt")),
     })
     df = with_day_off(df, F.to_date("_ref"), calendar_day, "_off").withColumn("_off", is_night(F.col("_ref"), settings) | F.col("_off"))
@@ -45,8 +54,8 @@ def price_works(works: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, s
     rule = tariffs.select(F.col("agent").alias("_agent"), F.col("work_type").alias("_type"), F.col("unit").alias("_unit"), F.col("currency").alias("_rule_currency"), F.col("rate").alias("_plain"), F.col("rate_ice").alias("_ice_rate"))
     escort = tariffs.where(F.col("work_type") == "сопровождение").select(F.col("agent").alias("_agent"), F.col("rate").alias("_escort_rate"))
     agents = tariffs.select(F.col("agent").alias("_agent")).distinct().withColumn("_known", F.lit(True))
-    df = df.join(F.broadcast(by_operation), ["_agent", "_type", "_off", "_ice"], "left").join(F.broadcast(rule), ["_agent", "_type"], "left")
-    df = df.join(F.broadcast(escort), "_agent", "left").join(F.broadcast(agents), "_agent", "left")
+    df = df.join(by_operation, ["_agent", "_type", "_off", "_ice"], "left").join(rule, ["_agent", "_type"], "left")
+    df = df.join(escort, "_agent", "left").join(agents, "_agent", "left")
 
     per_operation = small & F.col("_op_amount").isNotNull()
     divisor = F.when(F.col("tug_count") > 0, F.col("tug_count")).otherwise(1)
@@ -90,22 +99,29 @@ def price_works(works: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, s
     df = df.withColumn("calc_error", error)
     ok = F.col("calc_error").isNull()
     return df.select(
-        *kept, "work_minutes", "busy_minutes",
+        *[F.col("_work").getField(c).alias(c) for c in kept], "work_minutes", "busy_minutes",
         F.when(ok, F.col("_amount")).alias("amount"), F.when(ok, F.col("_currency")).alias("currency"), F.when(ok, t.py_round(F.col("_fx"), 4)).alias("cbr_rate"),
         F.when(ok, t.py_round(F.col("_amount") * F.col("_fx"), 2)).alias("revenue_rub"), F.when(ok, F.col("_note")).alias("calc_note"), "calc_error",
         F.when(ok, F.when(F.col("_per_op"), "per_operation").otherwise(F.col("_unit"))).alias("pricing"),
     )
 
 
-RESULTS = ["amount", "currency", "cbr_rate", "revenue_rub"]
-
-
 def recalculate(works: DataFrame, priced: DataFrame) -> DataFrame:
     """Results merged into ``works`` by id: a failed work keeps its old amounts and gets the error as its note."""
-    new = priced.select("id", *[F.col(c).alias(f"_{c}") for c in [*RESULTS, "calc_note", "calc_error"]])
-    failed = F.col("_calc_error").isNotNull()
-    merged = works.join(new.withColumn("_hit", F.lit(True)), "id", "left")
-    change = {c: F.when(F.col("_hit") & ~failed, F.col(f"_{c}")).otherwise(F.col(c)) for c in RESULTS}
-    change["calc_note"] = F.when(F.col("_hit") & failed, F.concat(F.lit("Ошибка расчёта: "), F.col("_calc_error"))).when(F.col("_hit"), F.col("_calc_note")).otherwise(F.col("calc_note"))
-    change["status"] = F.when(F.col("_hit") & failed, "error").when(F.col("_hit"), "calculated").otherwise(F.col("status"))
-    return merged.withColumns(change).select(*works.columns)
+    name = t.unused("_new", works)
+    new = F.col(name)
+    merged = works.join(priced.select("id", F.struct(*RESULTS, "calc_note", "calc_error").alias(name)), "id", "left")
+    hit, failed = new.isNotNull(), new["calc_error"].isNotNull()
+    change = {c: F.when(hit & ~failed, new[c]).otherwise(F.col(c)) for c in RESULTS}
+    change["calc_note"] = F.when(hit & failed, F.concat(F.lit("Ошибка расчёта: "), new["calc_error"])).when(hit, new["calc_note"]).otherwise(F.col("calc_note"))
+    change["status"] = F.when(hit & failed, "error").when(hit, "calculated").otherwise(F.col("status"))
+    return merged.withColumns(change).select(*[F.col(f"`{c}`") for c in works.columns])
+
+
+def recalculate_stored(works: DataFrame, vouchers: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, ids: DataFrame | None = None, settings: dims.Settings | None = None) -> DataFrame:
+    """Stored works (``schemas.SCHEMAS["works"]``) priced anew with the tugs of their vouchers; ``ids`` (column id) names those to do, None all."""
+    chosen = works.select("id", "voucher_id", *[c for c in INPUTS if c != "tug_count"])
+    chosen = chosen if ids is None else chosen.join(ids.select("id").distinct(), "id", "left_semi")
+    joint = vouchers.select(F.col("id").alias("voucher_id"), t.tug_count(F.col("joint_with")).alias("_tugs"))
+    chosen = chosen.join(joint, "voucher_id", "left").withColumn("tug_count", F.coalesce("_tugs", F.lit(1))).drop("_tugs")
+    return recalculate(works, price_works(chosen, fx_rate, calendar_day, settings))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schemas import FOREIGN_KEYS
+from ..functions import text as t
+from ..schemas import FOREIGN_KEYS, SCHEMAS, read
 
 
 def current_state(log: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -45,16 +46,35 @@ def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, key: str = "id", name: str = "number", rows_per_bin: int = 100_000) -> DataFrame:
-    """Rows numbered from 1 in key order.
+def numbered(df: DataFrame, key: str = "id", name: str = "number", keys: DataFrame | None = None, bins: int = 128) -> DataFrame:
+    """Rows numbered from 1 in the order of a numeric key, null keys last.
 
-    Keys fall into even bins between the smallest and the largest, about ``rows_per_bin`` rows in each;
-    only the bins' counts meet in one task, rows are numbered within their bins.
+    Keys fall into bins between quantiles, so a skewed key makes even bins too; only the bins' counts meet
+    in one task, rows are numbered within their bins.  ``keys`` holds the same keys from a cheaper plan.
+    Nothing runs before the result does.
     """
-    spread = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    width = max(1, (spread["hi"] - spread["lo"]) // max(1, spread["n"] // rows_per_bin)) if spread["n"] else 1
-    binned = df.withColumn("_bin", F.floor((F.col(key) - (spread["lo"] or 0)) / width))
-    before = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_bin").orderBy(key))
-    return binned.withColumn("_own", own).join(before, "_bin", "left").withColumn(name, F.col("_before") + F.col("_own")).drop("_bin", "_before", "_own")
+    keys = df if keys is None else keys
+    at, before, own = (t.unused(c, df) for c in ("_bin", "_before", "_own"))
+    bounds = keys.agg(F.percentile_approx(key, [i / bins for i in range(1, bins)], 100 * bins).alias("_bounds"))
+    bounds = bounds.select(F.array_distinct(F.coalesce("_bounds", F.array())).alias("_bounds"))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        place = F.size(F.filter("_bounds", lambda b: b < F.col(key)))
+        return rows.withColumn("_bounds", bounds.scalar()).withColumn(at, F.when(F.col(key).isNull(), bins).otherwise(place)).drop("_bounds")
+
+    counts = binned(keys.select(key)).groupBy(at).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(at, F.coalesce(F.sum("_n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    rows = binned(df).withColumn(own, F.row_number().over(Window.partitionBy(at).orderBy(key)))
+    return rows.join(F.broadcast(counts), at, "left").withColumn(name, F.col(before) + F.col(own)).drop(at, before, own)
+
+
+def append(rows: DataFrame, root: str, table: str) -> None:
+    """Append ``rows`` to a stored domain table: ids above the largest one there, the UTC time as created_at, null for columns that are missing.
+
+    Ids rise with the rows' partitions and have gaps.  One writer a table at a time.
+    """
+    spark, kinds = rows.sparkSession, [c.strip().split(" ") for c in SCHEMAS[table].split(",")]
+    top = read(spark, root, table).agg(F.max("id")).first()[0] or 0
+    new = {"id": F.monotonically_increasing_id() + (top + 1), "created_at": F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")}
+    value = {n: new[n] if n in new else F.col(f"`{n}`") if n in rows.columns else F.lit(None) for n, _ in kinds}
+    rows.select(*[value[n].cast(kind).alias(n) for n, kind in kinds]).write.mode("append").parquet(f"{root}/{table}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .. import schemas
 from ..operators import export, matching, pricing, state, views
 from ..sources import documents, forms, reference
 from . import adapters as ad
@@ -96,6 +97,52 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return views.application_detail(ad.applications(spark, d).withColumn("raw_text", F.lit("")), 7).select("id", "direction", "gross_tonnage")
 
 
+@_query(
+    "voucher_detail",
+    f"WITH {ad.VOUCHERS_SQL} SELECT id, number, strftime(left_base_dt, '%Y-%m-%dT%H:%M') AS left_base_dt, strftime(arrived_base_dt, '%Y-%m-%dT%H:%M') AS arrived_base_dt, strftime(started_dt, '%Y-%m-%dT%H:%M') AS started_dt, strftime(finished_dt, '%Y-%m-%dT%H:%M') AS finished_dt FROM vouchers WHERE id = (SELECT min(id) FROM vouchers)",
+)
+def voucher_detail(spark: SparkSession, d: str) -> DataFrame:
+    v = ad.vouchers(spark, d)
+    return views.voucher_detail(v, v.agg(F.min("id")).first()[0]).select("id", "number", "left_base_dt", "arrived_base_dt", "started_dt", "finished_dt")
+
+
+_VOUCHER_FORM = {
+    "voucher_id": "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_orderkey AS {s}) END", "number": "CASE WHEN l_partkey % 4 = 0 THEN '' ELSE concat('V', CAST(l_partkey AS {s})) END",
+    "tug_id": "CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat(' ', CAST(l_suppkey AS {s}), ' ') ELSE 'tug 1' END", "remarks": "CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE l_returnflag END",
+    "is_ice": "CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'on' END", "escort_hours": "CASE l_partkey % 3 WHEN 0 THEN '1,5' WHEN 1 THEN '' ELSE '2h' END",
+}
+
+
+@_query(
+    "voucher_forms",
+    f"""WITH x AS (SELECT {ad.VOUCHER_ID} AS row_id, l_shipdate, {", ".join(f"{e.format(s='VARCHAR')} AS {n}" for n, e in _VOUCHER_FORM.items())} FROM lineitem)
+    SELECT row_id, TRY_CAST(nullif(voucher_id, '') AS BIGINT) AS id, 'confirmed' AS status, nullif(number, '') AS number, CASE WHEN regexp_full_match(trim(tug_id), '[0-9]+') THEN CAST(trim(tug_id) AS BIGINT) END AS tug_id,
+    strftime(l_shipdate, '%Y-%m-%d') || ' 08:15' AS started, nullif(remarks, '') AS remarks, coalesce(is_ice, '') <> '' AS is_ice, TRY_CAST(replace(nullif(escort_hours, ''), ',', '.') AS DOUBLE) AS escort_hours FROM x""",
+)
+def voucher_forms(spark: SparkSession, d: str) -> DataFrame:
+    blank = {c: F.lit("") for c in ("vessel_name", "agent", "work_type", "left_base_dt", "arrived_base_dt", "finished_dt", "joint_with")}
+    rows = ad.load(spark, d, "lineitem").withColumns({"row_id": F.expr(ad.VOUCHER_ID), "started_dt": F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T08:15")), **{n: F.expr(e.format(s="STRING")) for n, e in _VOUCHER_FORM.items()}, **blank})
+    made = forms.voucher_forms(rows, "row_id")
+    return made.select("row_id", "id", "status", "number", "tug_id", F.date_format("started_dt", "yyyy-MM-dd HH:mm").alias("started"), "remarks", "is_ice", "escort_hours")
+
+
+_FORM_TEXT = "CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_brand END"
+
+
+@_query("form_blanks", f"WITH x AS (SELECT p_partkey, {_FORM_TEXT} AS f FROM part) SELECT p_partkey, nullif(f, '') AS filled, coalesce(f, '') <> '' AS checked FROM x")
+def form_blanks(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr(_FORM_TEXT)
+    return ad.load(spark, d, "part").select("p_partkey", t.blank_to_null(text).alias("filled"), t.checkbox(text).alias("checked"))
+
+
+_XML_NUMBER = "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('1 ', CAST(100 + p_size AS {s}), ',25') ELSE concat(CAST(p_size AS {s}), ',5') END"
+
+
+@_query("xml_number", f"WITH x AS (SELECT p_partkey, coalesce(nullif({_XML_NUMBER.format(s='VARCHAR')}, ''), '1') AS f FROM part) SELECT p_partkey, CAST(replace(replace(f, ' ', ''), ',', '.') AS DOUBLE) AS value FROM x")
+def xml_number(spark: SparkSession, d: str) -> DataFrame:
+    return ad.load(spark, d, "part").select("p_partkey", t.xml_number(F.expr(_XML_NUMBER.format(s="STRING")), "1").alias("value"))
+
+
 @_query("norm_vessel_name", f"SELECT c_custkey, {o.norm_name('c_name')} AS name FROM customer")
 def norm_vessel_name(spark: SparkSession, d: str) -> DataFrame:
     return ad.load(spark, d, "customer").select("c_custkey", t.norm_name(F.col("c_name")).alias("name"))
@@ -103,7 +150,7 @@ def norm_vessel_name(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("normalize_work_type", f"WITH {ad.VOUCHERS_SQL} SELECT id, {o.work_type('work_type')} AS canonical FROM vouchers")
 def normalize_work_type(spark: SparkSession, d: str) -> DataFrame:
-    return ad.vouchers(spark, d).select("id", t.normalize_work_type(F.col("work_type")).alias("canonical"))
+    return t.with_work_type(ad.vouchers(spark, d).select("id", "work_type"), F.col("work_type"), "canonical").select("id", "canonical")
 
 
 @_query("tug_count", f"WITH {ad.VOUCHERS_SQL} SELECT id, {o.tugs_in('joint_with')} AS tugs FROM vouchers")
@@ -256,6 +303,16 @@ def match_min_0_5(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d, 0.5, only=7)
 
 
+@_query("match_min_1_0", _match_sql(1.0))
+def match_min_1_0(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d, 1.0)
+
+
+@_query("match_ranked", f"SELECT application_id, voucher_id, score, row_number() OVER (PARTITION BY application_id ORDER BY score DESC, voucher_id) AS rank FROM ({_match_sql(0.7)})")
+def match_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return matching.ranked(_matches(spark, d, 0.7)).select("application_id", "voucher_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @_query("match_min_0_5_all", _match_sql(0.5))
 def match_min_0_5_all(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d, 0.5)
@@ -290,9 +347,11 @@ def mark_matched(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN calc_error IS NULL THEN revenue_rub END AS revenue_rub, CASE WHEN calc_error IS NULL THEN calc_note ELSE 'Ошибка расчёта: ' || calc_error END AS calc_note, CASE WHEN calc_error IS NULL THEN 'calculated' ELSE 'error' END AS status FROM priced""",
 )
 def recalc_merge(spark: SparkSession, d: str) -> DataFrame:
-    null = F.lit(None)
-    before = ad.works(spark, d).select("id", "status", F.lit(111.0).alias("amount"), F.lit("OLD").alias("currency"), null.cast("double").alias("cbr_rate"), null.cast("double").alias("revenue_rub"), null.cast("string").alias("calc_note"))
-    return pricing.recalculate(before, _priced(spark, d)).select("id", "amount", "currency", "cbr_rate", "revenue_rub", "calc_note", "status")
+    made = ad.works(spark, d).withColumns({"amount": F.lit(111.0), "currency": F.lit("OLD")})
+    kinds = [c.strip().split(" ") for c in schemas.SCHEMAS["works"].split(",")]
+    stored = made.select(*[(F.col(n) if n in made.columns else F.lit(None)).cast(kind).alias(n) for n, kind in kinds])
+    done = pricing.recalculate_stored(stored, ad.vouchers(spark, d), ad.fx_rate(spark), ad.calendar_day(spark))
+    return done.select("id", "amount", "currency", "cbr_rate", "revenue_rub", "calc_note", "status")
 
 
 @_query("seed_anti_join", "SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) GROUP BY n_name")
@@ -341,7 +400,12 @@ def _export_sql() -> str:
 
 @_query("export_works", _export_sql())
 def export_works(spark: SparkSession, d: str) -> DataFrame:
-    return export.works_frame(_priced(spark, d), ad.tugs(spark), ad.vouchers(spark, d), ad.applications(spark, d))
+    return export.works_frame(_priced(spark, d), ad.tugs(spark), ad.vouchers(spark, d), ad.applications(spark, d), ids=ad.works(spark, d).select("id"))
+
+
+@_query("export_csv", f"""SELECT {", ".join(f'coalesce(CAST("{c}" AS VARCHAR), {chr(39)*2}) AS "{c}"' for c in export.COLUMNS)} FROM ({_export_sql()})""")
+def export_csv(spark: SparkSession, d: str) -> DataFrame:
+    return export.csv_frame(export_works(spark, d))
 
 
 @_query("works_per_application", f"WITH {ad.WORKS_SQL} SELECT a.id, count(w.id) AS n, coalesce(string_agg(CAST(w.id AS VARCHAR), ',' ORDER BY w.id), '') AS works FROM applications a LEFT JOIN works w ON w.application_id = a.id GROUP BY a.id")
@@ -359,10 +423,35 @@ def html_table_fields(spark: SparkSession, d: str) -> DataFrame:
     return t.with_fields(documents.html_fields(page, "html", "c_custkey"), F.col("cells")).select("c_custkey", "vessel_name", "gross_tonnage", "net_tonnage")
 
 
-@_query("eml_ingest", "SELECT c_custkey, 'вход' AS direction, c_name AS vessel_name, CAST(c_custkey AS INT) AS gross_tonnage, '2026-07-19 10:00' AS received FROM customer")
+# Mails of six kinds: HTML, plain text, both, a bad date, styles with repeated and nested rows, and base64.
+_DAY = "lpad(CAST(1 + c_custkey % 28 AS {0}), 2, '0')"
+_TWICE = "concat('<style>p {{ content: \"на выход\" }}</style><script>var a = \"<p>выход</p>\";</script><template>выход</template><p>вход</p><table><tr><td>Название судна</td><td>FIRST</td></tr><tr><td></td><td>Название судна</td><td>', c_name, '</td></tr><tr><td>x<table><tr><td>Брутто/нетто</td><td>', CAST(c_custkey AS {0}), ' / 7</td></tr></table></td></tr></table>')"
+
+
+def _mail() -> F.Column:
+    kind, html = F.col("c_custkey") % 6, F.concat(F.lit("<p>на вход</p>"), F.expr(_HTML.format("STRING")))
+    plain = F.concat(F.lit("Название судна "), F.col("c_name"), F.lit("\nБрутто/нетто\n"), F.col("c_custkey"), F.lit(" / 7\n"))
+    head = F.concat(F.lit("From: agent@example.com\nSubject: "), F.when(kind == 1, "судно: выход").otherwise("Request"), F.lit("\nDate: "), F.when(kind == 3, "some day").otherwise(F.concat(F.lit("Sun, "), F.expr(_DAY.format("STRING")), F.lit(" Jul 2026 10:00:00 +0300"))), F.lit("\nMIME-Version: 1.0\n"))
+    part = lambda sub, body: F.concat(F.lit(f"Content-Type: text/{sub}; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), body)
+    both = F.concat(F.lit('Content-Type: multipart/alternative; boundary="b"\n\n--b\n'), part("plain", F.lit("Название судна PLAIN\n")), F.lit("\n--b\n"), part("html", html), F.lit("\n--b--\n"))
+    coded = F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(html.cast("binary")))
+    body = F.when(kind == 1, part("plain", plain)).when(kind == 2, both).when(kind == 4, part("html", F.expr(_TWICE.format("STRING")))).when(kind == 5, coded).otherwise(part("html", html))
+    return F.concat(head, body).cast("binary")
+
+
+@_query("eml_ingest", f"SELECT c_custkey, CASE WHEN c_custkey % 6 = 1 THEN 'выход' ELSE 'вход' END AS direction, c_name AS vessel_name, CAST(c_custkey AS INT) AS gross_tonnage, CAST(7 AS INT) AS net_tonnage, CASE WHEN c_custkey % 6 <> 3 THEN '2026-07-' || {_DAY.format('VARCHAR')} || ' 10:00' END AS received FROM customer")
 def eml_ingest(spark: SparkSession, d: str) -> DataFrame:
-    head = "From: agent@example.com\nSubject: Request\nDate: Sun, 19 Jul 2026 10:00:00 +0300\nMIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n<p>на вход</p>"
-    mail = F.concat(F.lit(head), F.expr(_HTML.format("STRING"))).cast("binary")
-    files = ad.load(spark, d, "customer").select(F.concat(F.lit("in/"), F.col("c_custkey"), F.lit(".eml")).alias("path"), mail.alias("content"))
+    files = documents.spread(ad.load(spark, d, "customer").select("c_custkey", "c_name")).select(F.concat(F.lit("in/"), F.col("c_custkey"), F.lit(".eml")).alias("path"), _mail().alias("content"))
     rows = documents.parse_documents(files)
-    return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint").alias("c_custkey"), "direction", "vessel_name", "gross_tonnage", F.date_format("received_at", "yyyy-MM-dd HH:mm").alias("received"))
+    return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint").alias("c_custkey"), "direction", "vessel_name", "gross_tonnage", "net_tonnage", F.date_format("received_at", "yyyy-MM-dd HH:mm").alias("received"))
+
+
+@_query("format_dispatch", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'выход' ELSE 'вход' END AS direction, c_custkey % 3 <> 0 AS from_mail, c_name AS vessel_name FROM customer")
+def format_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("c_custkey") % 3
+    page = F.concat(F.lit("на выход\nНазвание судна "), F.col("c_name"))
+    mail = F.concat(F.lit("Subject: in\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nна вход\nНазвание судна "), F.col("c_name"))
+    name = F.concat(F.lit("in/"), F.col("c_custkey"), F.when(kind == 0, F.when(F.col("c_custkey") % 2 == 0, ".PDF").otherwise(".pdf")).when(kind == 1, ".eml").otherwise(".pdf.msg"))
+    files = ad.load(spark, d, "customer").select(name.alias("path"), F.when(kind == 0, page).otherwise(mail).cast("binary").alias("content"))
+    rows = documents.parse_documents(files, lambda content: content.decode())
+    return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint").alias("c_custkey"), "direction", F.col("subject").isNotNull().alias("from_mail"), "vessel_name")

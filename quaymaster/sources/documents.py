@@ -23,6 +23,10 @@ _MAIL = f"subject string, sender string, received_at timestamp_ntz, raw_text str
 _CELL_ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("label", pa.string()), ("value", pa.string())]))
 
 
+# Elements whose strings are no text of the page.
+_NO_TEXT = frozenset(("script", "style", "template", "rt", "rp"))
+
+
 class _Tables(HTMLParser):
     """All strings of a page, and the rows of its tables; rows of a nested table count for the outer one too."""
 
@@ -31,6 +35,7 @@ class _Tables(HTMLParser):
         self.strings: list[str] = []
         self.tables: list[list[list[list[str]]]] = []  # finished or open, in order of their start
         self.open: list[tuple[str, list]] = []  # (tag, what its strings or children go to)
+        self.hidden: list[str] = []  # open elements without text
 
     def _end(self, tag: str, within: str) -> None:
         """Close ``tag`` and what is open inside it, up to the nearest ``within``."""
@@ -42,7 +47,9 @@ class _Tables(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "table":
+        if tag in _NO_TEXT:
+            self.hidden.append(tag)
+        elif tag == "table":
             self.tables.append([])
             self.open.append(("table", self.tables[-1]))
         elif tag == "tr":
@@ -59,12 +66,14 @@ class _Tables(HTMLParser):
             self.open.append((tag, cell))
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
         if tag in ("table", "tr", "td", "th"):
             self._end(tag, "" if tag == "table" else "table")
 
     def handle_data(self, data: str) -> None:
         data = data.strip()
-        if data:
+        if data and not self.hidden:
             self.strings.append(data)
             for kind, target in self.open:
                 if kind in ("td", "th"):
@@ -122,6 +131,11 @@ def decode_mails(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(decode, f"path string, {_MAIL}")
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` dealt over all cores, for inputs that come in few large partitions; folders of files need none of it."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
 def html_fields(df: DataFrame, html_col: str, key_col: str) -> DataFrame:
     """key and cells of a column of HTML."""
 
@@ -151,12 +165,14 @@ def is_pdf(path: Column) -> Column:
 def parse_documents(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
     """Application rows of (path, content): ``.pdf`` by ``pdf_text``, all others as mails.
 
-    ``pdf_text`` turns a file into its pages' text joined by newlines; without it PDF rows have no text.
+    ``pdf_text`` turns a file into its pages' text joined by newlines; without it a PDF is an error.
     """
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [pdf_text(c or b"") if pdf_text else "" for c in batch.column(1).to_pylist()]
+            if batch.num_rows and pdf_text is None:
+                raise ValueError(f"pass pdf_text to read {batch.column(0)[0]}")
+            texts = [pdf_text(c or b"") for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "raw_text"])
 
     mails = decode_mails(files.where(~is_pdf(F.col("path"))))

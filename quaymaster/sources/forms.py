@@ -20,10 +20,11 @@ def application_forms(rows: DataFrame) -> DataFrame:
     )
 
 
-def voucher_forms(rows: DataFrame) -> DataFrame:
+def voucher_forms(rows: DataFrame, *kept: str) -> DataFrame:
+    """Typed voucher rows of a form's strings; ``kept`` columns stay as they are."""
     times = [t.form_date_time(F.col(c)).alias(c) for c in ("left_base_dt", "arrived_base_dt", "started_dt", "finished_dt")]
     return rows.select(
-        F.col("voucher_id").try_cast("bigint").alias("id"), F.lit("confirmed").alias("status"), _BLANK("number"), t.form_int(F.col("tug_id")).cast("bigint").alias("tug_id"),
+        *kept, F.col("voucher_id").try_cast("bigint").alias("id"), F.lit("confirmed").alias("status"), _BLANK("number"), t.form_int(F.col("tug_id")).cast("bigint").alias("tug_id"),
         _BLANK("vessel_name"), _BLANK("agent"), _BLANK("work_type"), *times, _BLANK("remarks"), _BLANK("joint_with"),
         t.checkbox(F.col("is_ice")).alias("is_ice"), t.form_decimal(F.col("escort_hours")).alias("escort_hours"),
     )

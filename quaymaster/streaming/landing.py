@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.documents import application_row, decode_mails
 
+UNNAMED = "upload.bin"
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -16,6 +18,16 @@ def landed_applications(spark: SparkSession, path: str, files_per_batch: int = 1
     return application_row(decode_mails(files))
 
 
+def land(files: DataFrame, folder: str) -> DataFrame:
+    """Files (name, content) with the path that they land under: the last part of their name, ``upload.bin`` without one.
+
+    Of equal names the row of the largest ``version`` stays, as a later upload overwrites an earlier one.
+    """
+    base = F.regexp_extract(F.coalesce("name", F.lit("")), r"([^/\\]*)$", 1)
+    named = files.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), F.when(base == "", UNNAMED).otherwise(base)))
+    return named.groupBy("path").agg(F.max_by("content", "version").alias("content"))
+
+
 def append_to(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append all files that are there now, then stop."""
     return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

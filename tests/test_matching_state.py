@@ -36,6 +36,7 @@ def test_scores_and_reasons(spark):
     assert got[1, 10]["score"] == 1.0 and got[1, 10]["reasons"] == ["совпадает судно", "совпадает вид работ", "совпадает дата"]
     assert got[2, 30]["score"] == 0.3  # the rest direction equals the rest work type; blank names are no match
     assert [r["voucher_id"] for r in matching.ranked(matching.match_candidates(apps.where("id = 1"), vouchers, 0.5)).collect()][:2] == [10, 11]
+    assert [r["rank"] for r in matching.ranked(matching.match_candidates(apps.where("id = 1"), vouchers, 0.5)).collect()] == list(range(1, 6))
 
 
 def test_no_cartesian_plan(spark):
@@ -64,8 +65,10 @@ def test_state(spark):
     there = spark.createDataFrame([("a",)], "name string")
     new = spark.createDataFrame([("a",), ("b",), ("b",), ("",), (None,)], "name string")
     assert [r["name"] for r in state.insert_if_absent(there, new).collect()] == ["b"]
-    numbered = state.numbered(spark.createDataFrame([(i * i,) for i in range(1, 300)], "id bigint"), rows_per_bin=20)
-    assert [r["number"] for r in numbered.orderBy("id").collect()] == list(range(1, 300))
+    keys = spark.createDataFrame([(i * i if i < 290 else 10**15 + i, 1) for i in range(1, 300)] + [(None, 1)], "id bigint, _bin int")
+    for numbered in (state.numbered(keys, bins=20), state.numbered(keys, keys=keys.select("id"))):
+        assert numbered.columns == ["id", "_bin", "number"]
+        assert [r["number"] for r in numbered.orderBy(F.asc_nulls_last("id")).collect()] == list(range(1, 301))
     assert state.numbered(spark.createDataFrame([], "id bigint")).count() == 0
 
 

@@ -3,7 +3,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quaymaster.operators.pricing import price_works, recalculate
+from quaymaster import schemas
+from quaymaster.operators.pricing import price_works, recalculate, recalculate_stored
 
 WORKS = "id bigint, agent string, work_type string, gross_tonnage int, started_dt timestamp_ntz, finished_dt timestamp_ntz, left_base_dt timestamp_ntz, arrived_base_dt timestamp_ntz, is_ice boolean, escort_hours double, tug_count int"
 RATE = 78.3987
@@ -91,3 +92,22 @@ def test_recalculate_keeps_old_amounts(spark):
     assert (got[1]["amount"], got[1]["status"], got[1]["calc_note"]) == (9.0, "calculated", "new")
     assert (got[2]["amount"], got[2]["status"], got[2]["calc_note"]) == (6.0, "error", "Ошибка расчёта: беда")
     assert (got[3]["status"], got[3]["amount"]) == ("matched", None)
+
+
+def test_stored_works_and_clashing_names(spark):
+    day = datetime(2026, 7, 20, 6)
+    row = {"id": 1, "status": "matched", "voucher_id": 5, "work_type": "швартовка", "agent": T, "started_dt": day, "finished_dt": day, "gross_tonnage": 8446, "amount": 3.0, "currency": "OLD", "calc_note": "old", "is_ice": False}
+    names = [c.strip().split(" ")[0] for c in schemas.SCHEMAS["works"].split(",")]
+    works = spark.createDataFrame([tuple((row | c).get(n) for n in names) for c in ({}, {"id": 2, "agent": "X"}, {"id": 3, "voucher_id": None})], schemas.SCHEMAS["works"])
+    fx, calendar = spark.createDataFrame([(day.date(), "USD", RATE)], "rate_date date, char_code string, rate double"), spark.createDataFrame([], "day date, is_day_off boolean")
+    vouchers = spark.createDataFrame([(5, "БК Пионер")], "id bigint, joint_with string")
+    clashing = works.withColumns({c: F.lit("mine") for c in ("_ice", "_agent", "_type", "_off", "_new", "_work", "_fx", "a.b")})
+    for given in (works, clashing):
+        done = recalculate_stored(given, vouchers, fx, calendar)
+        assert done.columns == given.columns
+        got = {r["id"]: r for r in done.collect()}
+        assert (got[1]["amount"], got[1]["currency"], got[1]["status"]) == (2111.5, "USD", "calculated") and got[3]["amount"] == 4223.0
+        assert (got[2]["amount"], got[2]["status"]) == (3.0, "error") and got[2]["calc_note"].startswith("Ошибка расчёта: ")
+    assert {r["_ice"] for r in done.collect()} == {"mine"}
+    some = recalculate_stored(works, vouchers, fx, calendar, ids=works.where("id = 3").select("id"))
+    assert {r["id"]: r["status"] for r in some.collect()} == {1: "matched", 2: "matched", 3: "calculated"}
