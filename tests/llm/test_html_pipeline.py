@@ -1,3 +1,7 @@
+import math
+import random
+import time
+from collections import defaultdict
 from pathlib import Path
 
 import pytest
@@ -34,10 +38,47 @@ def test_style_tree_removes_what_recurs(spark):
     pages = spark.createDataFrame(rows, SCHEMA)
     text = {r["page_id"]: r["text"] for r in h.extract_main_text(pages).collect()}
     assert text[3] == "own words 3 of page 21" and text[100] == "welcome to the site"
-    tree = h.style_tree(h._prepared(pages, "page_id", "url", "html")).where(~F.col("branch")).orderBy("importance").collect()
+    tree = h.style_tree(h._looked(h._prepared(pages, "page_id", "url", "html"))).where(F.col("kind") != h._BRANCH).orderBy("importance").collect()
     assert tree[0]["importance"] == pytest.approx(0) and tree[-1]["importance"] == pytest.approx(1)
 
 
+def test_importance_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, f"http://h{i % 2}.org/{i}", "".join(f"<div class=c{k}>{r.choice('abcd')}</div>" for k in "xyz" if r.random() < 0.8), "h", 0) for i in range(40)]
+    seen = h._looked(h._prepared(spark.createDataFrame(rows, SCHEMA), "page_id", "url", "html"))
+    of = defaultdict(lambda: defaultdict(set))
+    for x in seen.collect():
+        of[x["host"], x["path"], x["kind"]][x["feature"]].add(x["page"])
+    assert {k for _, _, k in of} == {h._LEAF}
+    for x in h.style_tree(seen).collect():
+        contents = of[x["host"], x["path"], x["kind"]]
+        pages = len(set().union(*contents.values()))
+        mean = sum(math.log(len(c)) for c in contents.values()) / len(contents)
+        assert x["pages"] == pages and x["importance"] == pytest.approx(1 - mean / math.log(max(2, pages)))
+    layouts = h.style_tree(spark.createDataFrame([(1, 2, f, p, h._BRANCH) for p, f in enumerate([7, 7, 7, 8, 9])], seen.schema)).first()
+    assert layouts["importance"] == pytest.approx(-sum(k / 5 * math.log(k / 5) for k in (3, 1, 1)) / math.log(5))
+
+
+def test_hints_are_no_verdict(spark):
+    # the whole story stands in what is named a promo widget; an advert with each page's own words stands in it too
+    rows = [(i, f"http://w.org/{i}", page(i, f"<div class='promo widget'><h1>Story {i}</h1><p>own words number {i} of a long story</p><div class='ad'>buy {i}</div></div><div id=banner>hello {i}</div>"), "h", 0) for i in range(12)]
+    text = {r["page_id"]: r["text"] for r in h.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(text[i] == f"Story {i} own words number {i} of a long story" for i in range(12))
+
+
+def test_headline_of_near_copies_stays(spark):
+    rows = [(i, f"http://c.org/{i}", page(i, f"<article><h1>One headline</h1><p>text number {i}</p></article>"), "h", 0) for i in range(30)]
+    assert all(r["text"] == f"One headline text number {r['page_id']}" for r in h.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_long_and_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    for unit in ("<a ", "<a \"", "<!", "<script ", "<p class='", "<div>", "<div><p>", "x" * 50 + "<b>", "</p>", "<li><ul>"):
+        h.blocks(unit * (200_000 // len(unit)))
+    deep = h.blocks("<div>" * 2000 + "<p>words</p>" + "</div>" * 2000 + "end")
+    assert [t for *_, t in deep] == ["words", "end"] and time.perf_counter() - began < 20
+
+
 def test_style_tree_acts_inside_and_beside_articles(spark):
     box = "<div class='box'>thank you for reading all of this, come again</div>"
     rows = [(i, f"http://s.org/{i}", page(i, f"<article><h1>Head {i}</h1><p>own words {i}</p>{box}</article>"), "h", 0) for i in range(12)]
