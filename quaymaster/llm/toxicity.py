@@ -8,7 +8,8 @@ Forward-backward marginals of all words give a document's score, by a logistic m
 maximum fitted on the same documents, and the offsets of offending words.
 
 The model is fitted on a bounded sample of labelled rows (``max_toxic`` and ``max_clean`` documents,
-those with the smallest hashes of their ids); every document is scored whole.
+those with the smallest hashes of their ids, and ``max_bytes`` of text); every document is scored whole, and a
+sentence is one chain however long it is.
 
 Edge cases: a null or empty text has no words and gets the score of no offence; rows of the label table
 without a label or id are passed over, contradictory labels count as toxic; without labelled toxic
@@ -26,16 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_map, fold, slices, take_turn, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on, at most.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
-#: Features that a model keeps: those with the largest weights.
-MAX_FEATURES = 200_000
-#: Longest stretch of words that is one chain.
-CHAIN = 64
+#: Bytes of their texts, at most.
+MAX_BYTES = 32 << 20
 CACHED_WORDS = 300_000
 ROUNDS, RATE, PENALTY = 60, 0.4, 1e-4
 #: A form marks a word if its log odds reach this, and so do its documents' log likelihood ratio against chance.
@@ -84,15 +84,12 @@ class _Scores(dict):
 
 
 def _chains(ends: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where chains begin, and how long they are: at texts, after sentence ends, and every CHAIN words."""
+    """Where chains begin, and how long they are: at texts and after sentence ends."""
     n = len(ends)
     begin = np.zeros(n, dtype=bool)
     begin[1:] = ends[:-1]
     begin[(np.cumsum(count) - count)[count > 0]] = True
-    start = np.flatnonzero(begin)
-    length = np.diff(np.append(start, n))
-    pieces = -(-length // CHAIN)
-    first = np.repeat(start, pieces) + CHAIN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    first = np.flatnonzero(begin)
     return first, np.diff(np.append(first, n))
 
 
@@ -203,8 +200,6 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
             mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
             weights = weights - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         model.emission, model.chain = weights[:dimensions], weights[dimensions:]
-        if dimensions > MAX_FEATURES:
-            model.emission = np.where(np.abs(model.emission) >= np.partition(np.abs(model.emission), -MAX_FEATURES)[-MAX_FEATURES], model.emission, 0)
         marginal, _ = _marginals(np.bincount(of, weights=model.emission[flat], minlength=len(sizes))[kind], first, length, model.chain)
     else:
         marginal = np.empty(0)
@@ -220,7 +215,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Model:
     return Model(names[used], model.emission[used], model.chain, theta)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_bytes: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Whole texts of a bounded sample of the labelled training rows, their labels and weights."""
     rows = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).where(fold(label_id_col, FOLDS) != HELD_OUT)
     rows = rows.groupBy(F.col(label_id_col).alias("label_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("toxic"))
@@ -233,7 +228,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
         drawn = part if drawn is None else drawn.unionByName(part)
     slim = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     found = slim.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "text", "toxic")
-    got = sorted(((r["id"], bytes(r["text"]), r["toxic"]) for r in found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_toxic + max_clean).collect()), key=lambda r: (r[0], r[1]))
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
+    few = found.orderBy(*order).limit(max_toxic + max_clean).withColumn("upto", F.sum(F.octet_length("text")).over(Window.orderBy(*order)))
+    got = sorted(((r["id"], bytes(r["text"]), r["toxic"]) for r in few.where(F.col("upto") <= max_bytes).collect()), key=lambda r: (r[0], r[1]))
     toxic = np.array([t == 1 for _, _, t in got], dtype=bool)
     weight = np.where(toxic, sizes[1] / max(1, int(toxic.sum())), sizes.get(0, 0) / max(1, int((~toxic).sum())))
     return [t for _, t, _ in got], toxic, weight
@@ -264,19 +261,19 @@ class Tagger:
         return 1 / (1 + np.exp(-_aggregate(marginal, count) @ model.map)), marginal, np.cumsum(count) - count
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> Model | None:
-    texts, toxic, weight = training_sample(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+def _fitted(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_bytes: int, id_col: str, text_col: str, label_col: str, label_id_col: str) -> Model | None:
+    texts, toxic, weight = training_sample(docs, labels, max_toxic, max_clean, max_bytes, id_col, text_col, label_col, label_id_col)
     if not len(texts):
         return None
     return fit(texts, toxic, weight)
 
 
 def drop_toxic(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    model = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    model = _fitted(docs, labels, max_toxic, max_clean, max_bytes, id_col, text_col, label_col, label_id_col)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +286,11 @@ def drop_toxic(
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id",
 ) -> DataFrame:
     """id, held_out, score, predicted, and spans: start and end (in characters) and score of offending words."""
-    model = _fitted(docs, labels, max_toxic, max_clean, id_col, text_col, label_col, label_id_col)
+    model = _fitted(docs, labels, max_toxic, max_clean, max_bytes, id_col, text_col, label_col, label_id_col)
     slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), text_bytes(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -306,11 +303,11 @@ def score_toxicity(
             spans: list[list[dict]] = [[] for _ in texts]
             at = np.flatnonzero(marginal >= 0.5)
             for text in np.unique(np.searchsorted(start, at, side="right") - 1).tolist():
+                upto = np.cumsum((np.frombuffer(texts[text], np.uint8) & 0xC0) != 0x80)  # characters to each byte
                 for i, m in enumerate(_SPLIT.finditer(texts[text])):
                     p = marginal[start[text] + i]
                     if p >= 0.5:
-                        lo = len(texts[text][: m.start()].decode("utf-8", "ignore"))
-                        spans[text].append({"start": lo, "end": lo + len(m.group().decode("utf-8", "ignore")), "score": float(p)})
+                        spans[text].append({"start": int(upto[m.start()]) - 1, "end": int(upto[m.end() - 1]), "score": float(p)})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(chance), pa.array((chance >= threshold).astype(np.int32)), pa.array(spans, span_type)],
                 names=["id", "held_out", "score", "predicted", "spans"],
