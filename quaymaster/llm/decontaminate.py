@@ -15,6 +15,7 @@ a text gives two regions; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, slices, take_turn, text_bytes
 
@@ -34,6 +36,8 @@ BAND = 16
 BLOCK_BYTES = 32 << 20
 #: Bytes of text whose q-grams are hashed at once.
 STEP = 1 << 20
+#: Shared q-grams that are counted at once, about.
+HITS = 1 << 21
 #: Windows of an item that are aligned at once.
 WINDOWS = 1 << 14
 _TABLE_BITS = 24
@@ -131,14 +135,11 @@ class Index:
             gram[gram == len(self.grams)] = 0
             same = self.grams[gram] == h[at]
             at, gram = at[same], gram[same]
-            count = self.count[gram]
-            entry = np.repeat(self.first[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at, item, place = np.repeat(at, count), self.item[entry], self.place[entry]
-            diagonal = at - place + REGION * 1000  # never below 0
-            band = diagonal // BAND
-            low = diagonal % BAND < self.spread[item]  # also in the overlap of the band before
-            item, band = np.concatenate([item, item[low]]), np.concatenate([band, band[low] - 1])
-            key, shared = np.unique(item << 40 | band, return_counts=True)
+            # a piece of the places at a time, so that repetitive texts take no more memory
+            cuts = np.searchsorted(np.cumsum(self.count[gram]), np.arange(HITS, self.count[gram].sum() + HITS, HITS), side="right")
+            parts = [self._bands(a, g) for a, g in zip(np.split(at, cuts), np.split(gram, cuts), strict=True)]
+            key, part = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            shared = np.bincount(part, weights=np.concatenate([n for _, n in parts]), minlength=len(key))
             key = key[shared >= self.bound[key >> 40]]
             for item, band in zip((key >> 40).tolist(), (key & ((1 << 40) - 1)).tolist(), strict=True):
                 found.update(self._aligned(data, begin, item, band * BAND - REGION * 1000))
@@ -153,17 +154,34 @@ class Index:
         # of overlapping regions of an item the longest stays, where an edit weighs as much as half of the bytes that allow it; ends may reach over by their edits
         out: list[tuple[int, int, int, int, int]] = []
         taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        upto: dict[int, np.ndarray] = {}  # characters to each byte of a text
         for text, item, a, b, edits in sorted(found, key=lambda r: (r[0], r[1], r[2] - r[3] + r[4] / EDITS / 2, r[4], r[2])):
             spans = taken.setdefault((text, item), [])
             slack = min(edits, int(self.spread[item]))
-            if all(b - slack <= x or a + slack >= y for x, y in spans):
-                spans.append((a, b))
-                lo, hi = int(source[a] - raw_begin[text]), int(source[b - 1] - raw_begin[text])
-                head = texts[text][:lo].decode("utf-8", "ignore")
-                body = texts[text][lo : hi + 1].decode("utf-8", "ignore")
-                out.append((text, item, len(head), len(head) + len(body), edits))
+            # spans that were taken are longer and hardly overlap each other: only the nearest can meet this one
+            near = bisect.bisect_left(spans, (a, b))
+            lo = near
+            while lo and spans[lo - 1][1] > a + slack and near - lo < 8:
+                lo -= 1
+            if all(b - slack <= x or a + slack >= y for x, y in spans[lo : near + 8]):
+                spans.insert(near, (a, b))
+                if text not in upto:
+                    upto[text] = np.cumsum((np.frombuffer(texts[text], np.uint8) & 0xC0) != 0x80)
+                first, last = int(source[a] - raw_begin[text]), int(source[b - 1] - raw_begin[text])
+                out.append((text, item, int(upto[text][first]) - 1, int(upto[text][last]), edits))
         return out
 
+    def _bands(self, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands (item and band in one number) and how many q-grams at these places they share."""
+        count = self.count[gram]
+        entry = np.repeat(self.first[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at, item, place = np.repeat(at, count), self.item[entry], self.place[entry]
+        diagonal = at - place + REGION * 1000  # never below 0
+        band = diagonal // BAND
+        low = diagonal % BAND < self.spread[item]  # also in the overlap of the band before
+        item, band = np.concatenate([item, item[low]]), np.concatenate([band, band[low] - 1])
+        return np.unique(item << 40 | band, return_counts=True)
+
     def _aligned(self, data: np.ndarray, begin: np.ndarray, item: int, diagonal: int) -> Iterator[tuple[int, int, int, int, int]]:
         """Regions of ``item`` on diagonals from ``diagonal`` on, by alignment within the band."""
         pattern = self.items[item]
@@ -280,7 +298,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     id_kind = slim.schema["id"].dataType.simpleString()
     out = None
     for ids, texts, item_kind in _blocks(benchmark, item_col, item_text_col):
-        item_arrow = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
+        item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
             take_turn("decontaminate")
