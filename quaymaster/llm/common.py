@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
@@ -70,7 +71,18 @@ def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
     The bound is a setting of the session, which batches are made under when the result is run.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    if not any("." in c for c in df.columns):
+        return df.mapInArrow(f, schema)
+    # mapInArrow takes a dot in a name for a field of a struct: such tables go by numbers
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    names, out = df.columns, [f"_{i}" for i in range(len(kind))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in f(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(out)
+
+    found = df.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(renamed, StructType([StructField(n, k.dataType) for n, k in zip(out, kind, strict=True)]))
+    return found.toDF(*[k.name for k in kind])
 
 
 def partitions(spark: SparkSession) -> int:

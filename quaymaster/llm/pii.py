@@ -1,7 +1,7 @@
 """PII: surrogate generation.
 
 Detected entities (e-mail and IPv4 addresses, telephone, card, account and social-security numbers, access keys,
-secrets that are named as such, and persons after a title) receive keyed replacements of the same type, script,
+secrets that are named as such, and persons after a title or a label such as "Name:", and where a text names them again in full) receive keyed replacements of the same type, script,
 length and format.  The characters that vary form a number in a mixed radix, which a keyed permutation of
 exactly that range (a Feistel network with cycle walking) maps to another: different values get different
 surrogates by construction, and a value the same one wherever and however it is written.  Check digits
@@ -58,6 +58,7 @@ _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])")
 _CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/.]{8,})")
@@ -66,6 +67,10 @@ _SECRET_NAMES = ("assw", "ecret", "oken", "pwd", "_key", "-key", "ikey", "ASSW",
 _KEY = re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![\w-])")
 _KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 _PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)?)(?!\w)")
+# Labels of a person's name.
+_LABELS = ("Name", "Full name", "Contact person", "Customer name", "Имя", "ФИО")
+_LABELLED = re.compile(r"(?<!\w)(?:" + "|".join(_LABELS) + r"): ?([^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?) ([^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)(?!\w)")
+_GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names}
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 
@@ -87,7 +92,11 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
+        reach, domain = 64, _DOMAIN.match(text, at + 1)
+        local = _LOCAL.search(text, max(0, at - reach), at)
+        while local and domain and local.start() == at - reach > 0:  # a name as long as that may go on
+            reach *= 2
+            local = _LOCAL.search(text, max(0, at - reach), at)
         if local and domain:
             found.append((local.start(), domain.end(), "email", text[local.start() : domain.end()].lower()))
         at = text.find("@", at + 1)
@@ -108,6 +117,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             account = m.group().replace(" ", "")
             if 15 <= len(account) <= 34 and _mod97(account) == 1:
                 found.append((m.start(), m.end(), "iban", account))
+        if "::" in text or text.count(":") > 6:
+            found += ((m.start(), m.end(), "ip6", m.group().lower()) for m in _IP6.finditer(text))
     if any(s in text for s in _SECRET_NAMES):
         found += ((m.start(1), m.end(1), "secret", m.group(1)) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m.group(1)))
     if any(p in text for p in _KEY_PREFIXES):
@@ -117,6 +128,15 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             names = m.group(2).split(" ")
             given = names[0] if len(names) > 1 else ""
             found.append((m.start(2), m.end(2), "person", f"{TITLES[m.group(1)]}/{given}/{names[-1]}"))
+    if any(f"{w}:" in text for w in _LABELS):
+        for m in _LABELLED.finditer(text):
+            found.append((m.start(1), m.end(2), "person", f"{_GENDER.get(m.group(1), 'n')}/{m.group(1)}/{m.group(2)}"))
+    # full names that were found are persons wherever the text has them
+    people = {" ".join(v.split("/")[1:]): v for _, _, kind, v in found if kind == "person" and "//" not in v}
+    if people:
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(people))) + r")(?!\w)")
+        known = {(s, e) for s, e, kind, _ in found if kind == "person"}
+        found += ((*m.span(), "person", people[m.group()]) for m in again.finditer(text) if m.span() not in known)
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:
@@ -189,6 +209,13 @@ class Surrogates:
                 x, i = divmod(x, len(c))
                 out.append(c[i])
             return ".".join(reversed(out))
+        if kind == "ip6":
+            shape = re.sub("[0-9a-f]", "0", value)
+            choices = [HEX if c == "0" else c for c in shape]
+            for group in re.finditer("0+", shape):  # no leading zeros but in a lone digit
+                if group.end() - group.start() > 1 and value[group.start()] != "0":
+                    choices[group.start()] = HEX[1:]
+            return self.spelled(value, choices, f"ip6/{attempt}/{shape}/{''.join('1' if c == HEX[1:] else '0' for c in choices)}")
         if kind == "phone":
             code, digits = value.split("/")
             lead = "123456789" if digits[0] != "0" else "0"
@@ -233,6 +260,8 @@ def rendered(original: str, kind: str, surrogate: str) -> str:
         return f"{given} {family}" if given else family
     if kind in ("ip", "secret", "key"):
         return surrogate
+    if kind == "ip6":
+        return surrogate.upper() if original.isupper() else surrogate
     if kind == "email":
         return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate, strict=False)) if len(original) == len(surrogate) else surrogate
     payload = surrogate.replace("/", "").replace("+", "")
@@ -264,7 +293,7 @@ def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
     current = staged(_surrogate_table(values.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
     some, fewest, idle = None, None, 0
     while True:
-        real = current.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").where("kind <> 'person'").select("kind", "value")
+        real = current.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").where("kind <> 'person' OR value NOT LIKE '%//%'").select("kind", "value")
         shared = current.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("keeps")).where("n > 1")
         shared = current.join(shared, ["kind", "surrogate"]).where(F.col("value") != F.col("keeps.value")).select("kind", "value")
         bad = staged(real.unionByName(shared).distinct(), "pii-collisions")
@@ -281,9 +310,12 @@ def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
         some = current.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with surrogates in the text, and entities: kind, start and end (in the new text) of each."""
-    where = F.xxhash64(text_col)
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with surrogates in the text, and entities: kind, start and end (in the new text) of each.
+
+    Whoever has ``key`` can undo the surrogates: keep it secret.
+    """
+    where = F.xxhash64(F.col(text_col))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("pii")
@@ -306,8 +338,8 @@ def replace_pii(docs: DataFrame, key: str = "set-a-secret-key", id_col: str = "d
         rows = docs.withColumn(hint, F.lit(None).cast(again_type))
     else:
         sent = {}
-        by_text = found.join(exceptions, ["kind", "value"]).groupBy("at").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(hint))
-        rows = docs.join(by_text, where == F.col("at"), "left").select(*[docs[c] for c in names], hint)
+        by_text = found.join(exceptions, ["kind", "value"]).groupBy(F.col("at").alias(f"{hint}at")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(hint))
+        rows = docs.join(by_text, where == F.col(f"{hint}at"), "left").select(*[docs[f"`{c}`"] for c in names], hint)
     entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     place = names.index(text_col)
 

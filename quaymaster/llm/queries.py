@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from ``spark.quaymaster.pii.key``; without it a name that protects nothing, for tests."""
+    return spark.conf.get("spark.quaymaster.pii.key", "test-key")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
