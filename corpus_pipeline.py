@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again before the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again before the next.
+
+Edge cases, for every stage: null and empty texts are clean, have no near copies and stay (as one end token each
+in the last stage); rows without an id stay; of repeated rows of an id one stays after ``join_near_copies``, and
+before it each is judged alike; very long texts are judged whole; extra columns stay as they are, whatever their
+names, up to the last stage, which has its own; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quaymaster.llm import decontaminate, ngram_join, packing, pii, toxicity
 from quaymaster.llm.common import staged, table
-from quaymaster.llm.queries import tokenizer_path
+from quaymaster.llm.queries import pii_key, tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the new text."""
     columns = docs.columns
-    out = pii.replace_pii(docs).select(*columns)
+    out = pii.replace_pii(docs, pii_key(spark)).select(*[f"`{c}`" for c in columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
