@@ -125,3 +125,40 @@ def test_pipeline_stages(spark):
     packed = pipeline.STAGES[-1][1](spark, docs, d)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
     assert pipeline.run(spark, d).count() == packed.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    item, copied = words(60), words(50)
+    texts = {i: words(40) for i in range(40)} | {100: copied, 101: copied.upper(), 102: copied + " end", 110: f"{words(20)} {item} {words(20)}", 120: None, 121: "", 122: words(30000), 123: "mail a.b@c.org now"}
+    labels = [(i, 0, 0) for i in texts] + [(None, 1, 1)]
+    for i in range(200, 240):
+        texts[i] = f"{words(30)} vilegrim rottenly {words(5)}"
+        labels.append((i, 0, 1))
+    # extra columns have names that operators use for their own
+    rows = [(i, t, "en", "s", len(t or ""), i, "x", "y", "z", 1.5) for i, t in [*texts.items(), (None, words(20)), (5, texts[5])]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, key bigint, label string, entities string, `a.b` string, id double"
+    for name, rows in (("full", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, item), (2, None), (3, "")] if rows else [], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, f) in enumerate(pipeline.STAGES[:-1]):
+            if stage == "ngram_join" and not rows:
+                continue  # test_join_keeps_one has it
+            out = f(spark, docs, d)
+            assert out.columns == docs.columns, stage
+            out.write.parquet(f"{d}/{k}")
+            docs = spark.read.parquet(f"{d}/{k}")
+        ids = sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in docs.collect())
+        assert ids == (sorted([-1, *range(40), 100, 120, 121, 122, 123]) if rows else [])
+        if rows:
+            kept = {x["doc_id"]: x for x in docs.collect()}
+            assert kept[122]["text"] == texts[122] and kept[120]["text"] is None and "a.b@c.org" not in kept[123]["text"]
+            assert kept[100]["a.b"] == "z" and kept[100]["entities"] == "y" and kept[123]["n_chars"] == len(kept[123]["text"])
+        packed = pipeline.STAGES[-1][1](spark, docs, d)
+        assert packed.select("doc_id").distinct().count() == len(ids)
