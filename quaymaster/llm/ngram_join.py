@@ -9,9 +9,11 @@ list length avoids empty and thin segments, which many sets share, and takes a o
 neighbourhood of a thick segment instead.
 
 Equal sets are one class from the start, and a bucket of classes is never expanded into all pairs:
-first every class is verified against one probing class of its bucket, then against a dozen others
-where its buckets still span components, and only for classes that no try has linked to the rest of
-their bucket are all pairs across components verified.  No link between components is lost.
+first every class is verified against one probing class of its bucket, which settles buckets of two;
+then against a dozen others where its buckets still span components; and only for classes that no try
+has linked to the rest of their bucket are all pairs across components compared, by parity sketches
+that never drop a link.  Whole sets travel only for pairs whose sketches are close.  No link between
+components is lost.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing;
 fewer words than a shingle count as one shingle.  A row without an id takes no part (null results
@@ -37,6 +39,10 @@ SIGNATURE, THIN = 1e-4, 1e-2
 CENTERS = 12
 #: Cells of a parity sketch.
 CELLS = 2048
+#: Bytes of ids that are broadcast, at most; more are joined by a shuffle of the texts.
+MAX_SENT = 64 << 20
+#: Sets of a bucket that are compared in one piece, about.
+BLOCK = 4096
 _U = np.uint64
 
 
@@ -117,7 +123,10 @@ class Scheme:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket, probing rows first: those of buckets with a probing row and another set, with the first."""
+    """Of rows sorted by bucket, probing rows first: those of buckets with a probing row and another set, with the first.
+
+    ``crowd`` marks buckets that may hold more than two sets.
+    """
     bucket = center = size = None  # of the run that the last batch ended in
     pending = None  # its only row, if not yet given out
     last = (None, None)
@@ -127,7 +136,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = (nr & 3) == 0
         if docs.any():
             at = np.flatnonzero(docs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(at.size, pa.int64()), pa.array(k[at]), pa.array(nr[at] >> 2), pa.array(np.zeros(at.size, np.int8)), pa.nulls(at.size, pa.int64()), pa.nulls(at.size, pa.int32()), ids.take(pa.array(at))], names=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.nulls(at.size, pa.int64()), pa.array(k[at]), pa.array(nr[at] >> 2), pa.array(np.zeros(at.size, np.int8)), pa.nulls(at.size, pa.int64()), pa.nulls(at.size, pa.int32()), pa.nulls(at.size, pa.bool_()), ids.take(pa.array(at))], names=_FOUND)
             b, k, nr = b[~docs], k[~docs], nr[~docs]
         if not b.size:
             continue
@@ -147,12 +156,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pending is None and bucket is not None and b[0] == bucket:
             head[0], head_nr[0] = center, size
             length[0] += 1
+        crowd = length > 2
+        crowd[[0, -1]] = True  # these may go on in another batch
         good = ((length > 1) & ((head_nr & 2) > 0))[run]
         bucket, center, size = b[-1], head[-1], head_nr[-1]
         pending = (b[-1], k[-1], nr[-1]) if length[-1] == 1 else None
         if good.any():
             c = run[good]
-            yield pa.RecordBatch.from_arrays([pa.array(b[good]), pa.array(k[good]), pa.array(nr[good] >> 2), pa.array((nr[good] & 3).astype(np.int8)), pa.array(head[c]), pa.array(head_nr[c] >> 2), pa.nulls(int(good.sum()), batch.schema.field(3).type)], names=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(b[good]), pa.array(k[good]), pa.array(nr[good] >> 2), pa.array((nr[good] & 3).astype(np.int8)), pa.array(head[c]), pa.array(head_nr[c] >> 2), pa.array(crowd[c]), pa.nulls(int(good.sum()), batch.schema.field(3).type)], names=_FOUND)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -165,17 +176,24 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_FOUND = ["bucket", "key", "n", "role", "center", "center_n", "id"]
+_FOUND = ["bucket", "key", "n", "role", "center", "center_n", "crowd", "id"]
 
 
 def _close(x: str, y: str, n: Column, percent: int) -> Column:
     """Whether two sketches differ in no more cells than linked sets of ``n`` tokens together may."""
-    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(CELLS // 64)), F.lit(0))
     return apart * (100 + percent) <= n * (100 - percent)
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sketches are close enough for a link."""
+    x = sets.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"))
+    y = sets.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"))
+    return pairs.join(x, "a").join(y, "b").where(_close("as", "bs", F.col("an") + F.col("bn"), percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are linked; only pairs with close sketches get their whole sets."""
+    """Those pairs (a, b) whose sets are linked, by their whole sets."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "x"):
@@ -186,15 +204,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (x.size + y.size - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    light = sets.select("key", "n", "sketch")
-    x = light.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"))
-    y = light.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"))
-    pairs = pairs.join(x, "a").join(y, "b").where(_close("as", "bs", F.col("an") + F.col("bn"), percent)).select("a", "b")
     x = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), verify, "a long, b long")
 
 
+def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, key, n, label, rows, sketch) that share a bucket, with other labels and close sketches.
+
+    A bucket of many rows is dealt into blocks, and every two blocks meet in a piece of their own: so memory
+    is bounded by BLOCK, and the work of a large bucket spreads over tasks.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pieces = own.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "n", "label", "sketch")
+
+    def piece(split: bool, own: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, words: np.ndarray) -> np.ndarray:
+        size, found = len(key), []
+        step = max(1, (1 << 16) // size)
+        for at in range(0, size, step):
+            i, j = np.nonzero(np.arange(at, min(at + step, size))[:, None] < np.arange(size)[None, :])
+            i += at
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (label[i] != label[j]) & (small * 100 >= large * percent)
+            ok &= (own[i] != own[j]) | (not split)
+            i, j, both = i[ok], j[ok], (small + large)[ok]
+            apart = np.bitwise_count((words[i] ^ words[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            ok = apart * (100 + percent) <= both * (100 - percent)
+            found.append(np.stack([np.minimum(key[i], key[j])[ok], np.maximum(key[i], key[j])[ok]]))
+        return np.concatenate(found, axis=1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] | None = None  # rows of the piece that may go on
+
+        def pairs(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal left
+            bucket, lo, hi = columns[:3]
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            cuts = [0, *cuts.tolist(), len(bucket)]
+            left = None if last else [c[cuts[-2] :] for c in columns]
+            found = [piece(bool(lo[s] != hi[s]), *(c[s:e] for c in columns[3:])) for s, e in zip(cuts[: len(cuts) - 1 - (not last)], cuts[1:], strict=False)]
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                columns = [np.asarray(c) for c in batch.columns[:-1]] + [np.asarray(batch.column(7).flatten()).reshape(-1, CELLS // 64)]
+                yield from pairs(columns if left is None else [np.concatenate(c) for c in zip(left, columns, strict=True)], False)
+        if left is not None:
+            yield from pairs(left, True)
+
+    dealt = pieces.repartition(partitions(rows.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return arrow_map(dealt, compare, "a long, b long").distinct()
+
+
+def _of(rows: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Those ``rows`` whose ``column`` is (or, left_anti, isn't) among the few ``keys``: they are broadcast if they are small, else both sides are dealt out."""
+    size = keys.agg(F.sum(F.octet_length(F.col(column).cast("string")) + 32)).first()[0] or 0
+    return rows.join(F.broadcast(keys) if size <= MAX_SENT else keys.hint("shuffle_hash"), column, how)
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and set_key of every row.
 
@@ -240,63 +310,66 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     signed = arrow_map(slim, sign, f"bucket long, key long, nr int, id {kind}")
     dealt = signed.repartition(partitions(spark), "bucket").withColumn("quiet", (F.col("nr").bitwiseAND(2) == 0)).sortWithinPartitions("bucket", "quiet", "key").drop("quiet")
-    found = staged(arrow_map(dealt, _buckets, f"bucket long, key long, n int, role byte, center long, center_n int, id {kind}"), "join-found")
+    found = staged(arrow_map(dealt, _buckets, f"bucket long, key long, n int, role byte, center long, center_n int, crowd boolean, id {kind}"), "join-found")
     del signed, dealt
     release(spark)
     rows = found.where("role = 0").select("id", "key", F.col("n").cast("long").alias("n"))
     entries = found.where("role > 0")
 
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = entries.where((F.col("key") != F.col("center")) & fits(F.col("n"), F.col("center_n")))
-    stars = staged(stars.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "join-stars", few)
+    stars = staged(stars.select(*pair("key", "center")).distinct(), "join-stars", few)
+
+    # the sets of one row of each class that a bucket joins with another; only these texts are read again
     wanted = entries.select("key").distinct()
-    reps = rows.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key", "left_semi")
+    reps = staged(rows.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key", "left_semi").select("id"), "join-reps", few)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of an id
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], names=["key", "tokens", "sketch", "n"])
+            sets = {set_key(s): s for s in shingle_sets(batch.column(1).to_pylist(), width)}
+            sets = {k: s for k, s in sets.items() if k not in seen}
+            seen.update(sets)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary()), pa.array([sketch(s) for s in sets.values()], pa.list_(pa.int64())), pa.array([len(s) for s in sets.values()], pa.int64())], names=["key", "tokens", "sketch", "n"])
 
-    known = slim.join(reps.select("id").hint("shuffle_hash"), "id", "left_semi")
-    sets = staged(arrow_map(known, tokens, "key long, tokens binary, sketch array<long>, n long"), "join-sets").dropDuplicates(["key"])
-    links = staged(_verified(stars, sets, percent), "join-links", few)
+    sets = staged(arrow_map(_of(slim, reps, "id"), tokens, "key long, tokens binary, sketch array<long>, n long"), "join-sets")
+    links = staged(_verified(_near(stars, sets, percent), sets, percent), "join-links", few)
     release(spark)
 
     label = components(links)
 
     def spanning(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that span components."""
+        """Rows of the buckets of more than two sets that span components."""
         at = rows.drop("label").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        return staged(at.join(split, "bucket", "left_semi").select("bucket", "key", "n", "role", "label"), name, few)
+        split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("bucket", "rows")
+        return staged(at.join(split, "bucket").select("bucket", "key", "n", "label", "rows"), name, few)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among a few pairs; only their sets are dealt out."""
+        pairs = staged(pairs, f"join-{name}-near", few)
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return staged(_verified(pairs, _of(sets, keys, "key"), percent), f"join-{name}", few)
 
     # Where one center was not enough: each set against some others of the largest of its buckets that span components
-    rest = spanning(entries.select("bucket", "key", "n", "role"), label, "join-rest")
+    rest = spanning(entries.where("crowd").select("bucket", "key", "n"), label, "join-rest")
     drawn = [F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(i))) for i in range(CENTERS)]
-    buckets = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.array_distinct(F.array(*drawn)).alias("some")).where(F.col("rows") > 2)
-    largest = rest.join(buckets.select("bucket", "rows"), "bucket").groupBy("key", "n", "label").agg(F.max_by("bucket", F.struct("rows", "bucket")).alias("bucket"))
-    tried = largest.join(buckets.select("bucket", "some"), "bucket").select("key", "n", "label", F.explode("some").alias("c"))
+    buckets = rest.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("some"))
+    largest = rest.groupBy("key", "n", "label").agg(F.max_by("bucket", F.struct("rows", "bucket")).alias("bucket"))
+    tried = largest.join(buckets, "bucket").select("key", "n", "label", F.explode("some").alias("c"))
     tried = tried.where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n")))
-    tried = tried.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    tried = staged(tried, "join-tried", few)
-    second = staged(_verified(tried, sets, percent), "join-second", few)
+    tried = staged(tried.select(*pair("key", "c.key")).distinct().join(stars, ["a", "b"], "left_anti"), "join-tried", few)
+    second = linked(_near(tried, sets, percent), "second")
     if not second.isEmpty():
         links = links.unionByName(second)
         label = components(links)
 
-    # What is left: all pairs across components, each at the first bucket that it has in common
-    rest = spanning(rest, label, "join-left").join(sets.select("key", "sketch"), "key")
-    every = F.sort_array(F.collect_set("bucket"))
-    p = rest.where("role >= 2").join(rest.where("role >= 2").groupBy("key").agg(every.alias("pb")), "key")
-    i = rest.where("role <> 2").join(rest.where("role <> 2").groupBy("key").agg(every.alias("ib")), "key")
-    p = p.select("bucket", F.col("key").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), "pb", F.col("sketch").alias("ps"))
-    i = i.select("bucket", F.col("key").alias("i"), F.col("n").alias("in"), F.col("label").alias("il"), "ib", F.col("sketch").alias("is"))
-    crossing = (p["bucket"] == i["bucket"]) & (F.col("pl") != F.col("il")) & (F.col("in") <= F.col("pn")) & fits(F.col("pn"), F.col("in"))
-    crossing = crossing & (F.array_min(F.array_intersect("pb", "ib")) == p["bucket"])
-    crossing = crossing & _close("ps", "is", F.col("pn") + F.col("in"), percent)
-    across = p.join(i, crossing).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
-    across = staged(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "join-across", few)
-    more = staged(_verified(across, sets, percent), "join-more", few)
+    # What is left: all pairs across components, by their sketches, whichever buckets they share
+    rest = spanning(rest.drop("rows"), label, "join-left").join(sets.select("key", "sketch"), "key")
+    across = _crossing(rest.select("bucket", "key", "n", "label", "rows", "sketch"), percent)
+    more = linked(across.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
@@ -319,7 +392,7 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, i
     """
     found = staged(jaccard_components(docs, width, percent, id_col, text_col), "join-components", some(docs.sparkSession))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
