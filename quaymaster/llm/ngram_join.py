@@ -392,7 +392,7 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, i
     """
     found = staged(jaccard_components(docs, width, percent, id_col, text_col), "join-components", some(docs.sparkSession))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    kept = _of(docs, gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
