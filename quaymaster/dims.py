@@ -59,7 +59,7 @@ class Settings:
     gross_tonnage_threshold: int = 2000
     ue_currency: str = "USD"
     data_dir: str = "data"
-    application_sender: str = "agency@sodru.com"
+    application_sender: str = ""
 
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Settings:
