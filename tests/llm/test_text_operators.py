@@ -150,6 +150,48 @@ def test_lm_counts_base_and_scores(docs, none, monkeypatch):
     assert lm.score(none).count() == 0
 
 
+def test_lm_scores_equal_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 500)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    texts = [(r["doc_id"], (r["text"] or "").encode().lower().split() + ["end"]) for r in docs.collect()]
+
+    def counted(folds):
+        words, pairs, contexts = Counter(), Counter(), Counter()
+        for i, w in texts:
+            if fold(i) in folds:
+                words.update(w)
+                pairs.update(zip(["start", *w], w))
+                contexts.update(["start", *w[:-1]])
+        return words, pairs, contexts, sum(words.values()), len(words)
+
+    def told(w, counts):
+        """Every token's bucket and its probabilities by pair, word and floor."""
+        words, pairs, contexts, total, types = counts
+        for h, t in zip(["start", *w], w):
+            yield contexts[h].bit_length(), (pairs[h, t] / max(1, contexts[h]), words[t] / max(1, total), 1 / (types + 1))
+
+    step = lambda p: 2.0 ** (-round(-math.log2(p) * lm.STEPS) / lm.STEPS) if p else 0.0
+    main = counted(set(range(2, 10)))
+    tuning = [(b, (step(p[0]), step(p[1]), p[2])) for i, w in texts if fold(i) == lm.TUNING for b, p in told(w, main)]
+    assert tuning
+    weights = {}
+    for b in range(lm.BUCKETS):
+        own, mix = [p for at, p in tuning if at == b], [0.4, 0.5, 0.1] if b else [0, 0.9, 0.1]
+        for _ in range(lm.EM_ROUNDS):
+            sums = [0.5 if m else 0.0 for m in mix]
+            for p in own:
+                joint = [m * x for m, x in zip(mix, p, strict=True)]
+                sums = [s + j / sum(joint) for s, j in zip(sums, joint, strict=True)]
+            mix = [s / sum(sums) for s in sums] if tuning else mix
+        weights[b] = mix
+    whole = counted(set(range(1, 10)))
+    want = sorted((-1 if i is None else i, sum(math.log10(sum(m * x for m, x in zip(weights[b], p, strict=True))) for b, p in told(w, whole))) for i, w in texts)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.score(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
 def test_lm_probabilities_sum_to_one():
     weights = lm.learn_weights([(3, 4, 12, 10), (3, -1, 20, 5), (0, -1, 9, 3), (2, -1, -1, 1)], 1000)
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all() and weights[0, 0] == 0
@@ -175,6 +217,16 @@ def test_media_columns(docs, none):
     want = sorted((len(b), hashlib.sha256(b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))).hexdigest()) for b in ((r["text"] or "").encode() for r in docs.collect()))
     got = media.media_digests(stored).collect()
     assert sorted((r["n_bytes"], r["payload_sha256"]) for r in got) == want
+    streams = {}
+    for r in stored.collect():
+        streams[hashlib.sha256(bytes(r["media"])).hexdigest()] = bytes(r["media"])
+    payloads = {hashlib.sha256(b).hexdigest(): b for b in (t.ljust(max(64, -(-len(t) // 64) * 64), b"\0") for t in ((r["text"] or "").encode() for r in docs.collect()))}
+    for r in got:
+        payload, stream = payloads[r["payload_sha256"]], streams[r["media_sha256"]]
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(payload), zlib.crc32(payload[-64:]), len(stream))
+        x = [b - 128 for b in payload]
+        assert r["feature"] == f"sum={sum(x)};energy={sum(v * v for v in x)};low={min(x)};high={max(x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+    assert len({r["media_sha256"] for r in got}) == len(payloads)
     blocks = media.read_blocks(stored).where("doc_id = 5003").orderBy("block").collect()
     assert b"".join(r["pcm"] for r in blocks)[:90000] == b"w1 " * 30000
     assert [r["sample_offset"] for r in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
