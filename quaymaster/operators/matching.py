@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..storage import staged
 
 #: Tenths of a point for the same vessel, work type and day (one day apart at most).
 NAME, TYPE, DAY = 5, 3, 2
@@ -61,6 +62,57 @@ def match_candidates(apps: DataFrame, vouchers: DataFrame, min_score: float = 0.
     return pairs.select("application_id", "voucher_id", (points / F.lit(10.0)).alias("score"), reasons.alias("reasons"))
 
 
+def _first_ids(vouchers: DataFrame, keys: list[str], k: int, name: str) -> DataFrame:
+    """The ``k`` smallest voucher ids of every key, ascending.
+
+    Each task keeps its own ``k`` smallest before the shuffle (a group limit), so a hot key sends a few rows, not all of its own.
+    """
+    own = Window.partitionBy(*keys).orderBy("voucher_id")
+    few = vouchers.select(*keys, "voucher_id").withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= k)
+    return few.groupBy(*keys).agg(F.sort_array(F.collect_list("voucher_id")).alias(name))
+
+
+def top_candidates(apps: DataFrame, vouchers: DataFrame, k: int = 20, min_score: float = 0.2) -> DataFrame:
+    """application_id, rank, voucher_id, score and reasons of the ``k`` best candidates of every application that reach ``min_score``.
+
+    Best first, of equal scores the smaller voucher id, as ``ranked`` orders all of them; but no pairs are made that aren't among the
+    results of a level.  What an application shares with a voucher (name, type, day) is a key; every key has the list of its ``k`` smallest voucher
+    ids.  An application takes from the lists of its keys, level by level, what it doesn't have yet, until it has ``k``.  The ``k`` smallest
+    ids are enough: of a list's first ``k`` those that stand on a higher level are taken already, so as many
+    as are still missing remain.  Null and blank names, types and days are no keys.
+    """
+    # the features are looked at once for each list, and found once
+    a, v = (staged(df, f"match-{name}") for df, name in zip(_features(apps, vouchers), ("applications", "vouchers"), strict=True))
+    v = v.toDF("voucher_id", "a_name", "a_type", "v_day")
+    near = v.withColumn("a_day", F.explode(F.array(*[F.date_add("v_day", i) for i in (-1, 0, 1)])))
+    keys = {"name, type, day": (10, ["a_name", "a_type", "a_day"]), "name, type": (8, ["a_name", "a_type"]), "name, day": (7, ["a_name", "a_day"]), "name": (5, ["a_name"]), "type, day": (5, ["a_type", "a_day"]), "type": (3, ["a_type"]), "day": (2, ["a_day"])}
+    shown = dict(zip(("name", "type", "day"), REASONS, strict=True))
+    need, entries, none = math.ceil(min_score * 10 - 1e-9), [], F.array().cast("array<bigint>")
+
+    def entry(code: int, points: int) -> Column:
+        return F.transform(F.coalesce(f"_list{code}", none), lambda x: F.struct(F.lit(-points).alias("order"), x.alias("voucher_id"), F.lit(code).alias("code")))
+
+    for code, (points, columns) in enumerate(keys.values()):
+        if points < need:
+            continue
+        source = near if "a_day" in columns else v
+        source = source.where(" AND ".join(f"{c} IS NOT NULL" if c == "a_day" else f"{c} <> ''" for c in columns))
+        a = a.join(_first_ids(source, columns, k, f"_list{code}"), columns, "left")
+        entries.append(entry(code, points))
+
+    def best(found: Column) -> Column:
+        """The first ``k`` entries of different vouchers: a voucher's first one is that of its highest level."""
+        ids = F.transform(found, lambda x: x["voucher_id"])
+        return F.transform(F.array(ids), lambda ids: F.slice(F.filter(found, lambda x, i: F.array_position(ids, x["voucher_id"]) == i + 1), 1, k))[0]
+
+    found = F.transform(F.array(F.sort_array(F.concat(*entries))), best)[0]  # sorted once
+    found = a.select("application_id", F.posexplode(found).alias("_at", "_one"))
+    reasons = F.array(*[F.array(*[F.lit(shown[c]) for c in kind.split(", ")]) for kind in keys])
+    return found.select(
+        "application_id", (F.col("_at") + 1).cast("bigint").alias("rank"), "_one.voucher_id", (F.col("_one.order") / F.lit(-10.0)).alias("score"), F.get(reasons, F.col("_one.code")).alias("reasons")
+    )
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
     """Every application's candidates with their rank: best first; of equal scores the smaller voucher id."""
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("application_id").orderBy(F.desc("score"), "voucher_id"))).orderBy("application_id", "rank")

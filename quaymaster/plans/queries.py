@@ -298,9 +298,9 @@ def match_min_0_8(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d, 0.8)
 
 
-@_query("match_min_0_5", _match_sql(0.5, "WHERE id = 7"))
+@_query("match_min_0_5", _match_sql(0.5))
 def match_min_0_5(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d, 0.5, only=7)
+    return _matches(spark, d, 0.5)
 
 
 @_query("match_min_1_0", _match_sql(1.0))
@@ -318,6 +318,31 @@ def match_min_0_5_all(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d, 0.5)
 
 
+def _top_sql(k: int) -> str:
+    """The best ``k`` of every application: all pairs by name or by type and day, and of a type or a day alone the first ``k``."""
+    kind = o.work_type("CASE direction WHEN 'вход' THEN 'швартовка' WHEN 'выход' THEN 'отшвартовка' ELSE direction END")
+    return f"""WITH {ad.APPLICATIONS_SQL}, {ad.VOUCHERS_SQL},
+    a AS (SELECT id AS application_id, {o.norm_name('vessel_name')} AS a_name, {kind} AS a_type, CAST(coalesce(entry_datetime, exit_datetime) AS DATE) AS a_day FROM applications),
+    v AS (SELECT id AS voucher_id, {o.norm_name('vessel_name')} AS v_name, {o.work_type('work_type')} AS v_type, CAST(coalesce(started_dt, finished_dt) AS DATE) AS v_day FROM vouchers),
+    near AS (SELECT v.*, v_day + i AS day FROM v, (VALUES (-1), (0), (1)) n(i)),
+    of_type AS (SELECT * FROM v WHERE v_type <> '' QUALIFY row_number() OVER (PARTITION BY v_type ORDER BY voucher_id) <= {k}),
+    of_day AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY day ORDER BY voucher_id) <= {k}),
+    s AS (SELECT application_id, a_name, a_type, a_day, voucher_id, v_name, v_type, v_day FROM a JOIN v ON a_name = v_name AND a_name <> ''
+          UNION SELECT application_id, a_name, a_type, a_day, voucher_id, v_name, v_type, v_day FROM a JOIN near ON a_type = v_type AND a_day = day AND a_type <> ''
+          UNION SELECT application_id, a_name, a_type, a_day, voucher_id, v_name, v_type, v_day FROM a JOIN of_type ON a_type = v_type
+          UNION SELECT application_id, a_name, a_type, a_day, voucher_id, v_name, v_type, v_day FROM a JOIN of_day ON a_day = day),
+    f AS (SELECT application_id, voucher_id, coalesce(a_name = v_name AND a_name <> '', false) AS n, coalesce(a_type = v_type AND a_type <> '', false) AS w, coalesce(abs(a_day - v_day) <= 1, false) AS d FROM s),
+    p AS (SELECT *, (CASE WHEN n THEN 5 ELSE 0 END + CASE WHEN w THEN 3 ELSE 0 END + CASE WHEN d THEN 2 ELSE 0 END) AS points FROM f)
+    SELECT application_id, row_number() OVER (PARTITION BY application_id ORDER BY points DESC, voucher_id) AS rank, voucher_id, CAST(points AS DOUBLE) / 10 AS score,
+           concat_ws(', ', CASE WHEN n THEN 'совпадает судно' END, CASE WHEN w THEN 'совпадает вид работ' END, CASE WHEN d THEN 'совпадает дата' END) AS reasons
+    FROM p WHERE points >= 2 QUALIFY rank <= {k}"""
+
+
+@_query("match_top", _top_sql(20))
+def match_top(spark: SparkSession, d: str) -> DataFrame:
+    return matching.top_candidates(ad.applications(spark, d), ad.vouchers(spark, d), 20, 0.2).withColumn("reasons", F.array_join("reasons", ", "))
+
+
 @_query(
     "match_view",
     f"""WITH m AS ({_match_sql(0.2, "WHERE id = 7")}), {ad.APPLICATIONS_SQL}, {ad.VOUCHERS_SQL}, {ad.TUGS_SQL}

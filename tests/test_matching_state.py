@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 from itertools import product
 
@@ -39,6 +40,26 @@ def test_scores_and_reasons(spark):
     assert [r["rank"] for r in matching.ranked(matching.match_candidates(apps.where("id = 1"), vouchers, 0.5)).collect()] == list(range(1, 6))
 
 
+@pytest.mark.parametrize(("k", "least"), [(1, 0.2), (3, 0.2), (7, 0.3), (40, 0.2), (5, 0.5), (4, 0.8), (2, 1.0)])
+def test_top_candidates_equal_all_pairs_ranked(spark, k, least):
+    r = random.Random(k)
+    day = lambda: r.choice([None, DAY + timedelta(days=r.randrange(4))])
+    apps = spark.createDataFrame([(i, r.choice(["A", "b ", None, "", "C"]), r.choice(["вход", "выход", "прочее", "", None]), None, 1, day(), day()) for i in range(40)], APPS)
+    # one name and one type hold most of the vouchers
+    vouchers = spark.createDataFrame([(1000 - i, r.choice(["a"] * 4 + ["B", None, "d"]), r.choice(["Швартовка"] * 4 + ["выход", "", None, "прочее"]), "", 1, None, None, day(), day(), False, None) for i in range(150)], VOUCHERS).repartition(5)
+    every = matching.ranked(matching.match_candidates(apps, vouchers, 0).where(F.col("score") >= least)).where(F.col("rank") <= k)
+    got = matching.top_candidates(apps, vouchers, k, least)
+    show = lambda df: sorted((x["application_id"], x["rank"], x["voucher_id"], x["score"], tuple(x["reasons"])) for x in df.collect())
+    assert show(got) == show(every) and got.count() > 0
+
+
+def test_top_candidates_limit_groups_before_the_shuffle(spark):
+    plan = matching.top_candidates(*frames(spark), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert matching.top_candidates(*(df.limit(0) for df in frames(spark))).count() == 0
+
+
 def test_no_cartesian_plan(spark):
     apps, vouchers = frames(spark)
     for threshold in (0.2, 0.3, 0.5, 0.7, 0.8, 1.0):
