@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions import text as t
 from ..schemas import FOREIGN_KEYS, SCHEMAS, read
 
@@ -68,13 +71,23 @@ def numbered(df: DataFrame, key: str = "id", name: str = "number", keys: DataFra
     return rows.join(F.broadcast(counts), at, "left").withColumn(name, F.col(before) + F.col(own)).drop(at, before, own)
 
 
-def append(rows: DataFrame, root: str, table: str) -> None:
+def append(rows: DataFrame, root: str, table: str) -> int:
     """Append ``rows`` to a stored domain table: ids above the largest one there, the UTC time as created_at, null for columns that are missing.
 
-    Ids rise with the rows' partitions and have gaps.  One writer a table at a time.
+    Gives the number of rows, which is counted while they are written.  The rows are evaluated once and staged; their ids have no gaps, since the
+    counts of partitions meet before them.  Ids of reserved blocks (``store.with_ids``) don't count.  One writer a table at a time.
     """
+    from .store import FIRST_BLOCK
+
     spark, kinds = rows.sparkSession, [c.strip().split(" ") for c in SCHEMAS[table].split(",")]
-    top = read(spark, root, table).agg(F.max("id")).first()[0] or 0
-    new = {"id": F.monotonically_increasing_id() + (top + 1), "created_at": F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")}
+    top = read(spark, root, table).where(F.col("id") < FIRST_BLOCK).agg(F.max("id")).first()[0] or 0
+    at, first, before = (t.unused(c, rows) for c in ("_at", "_first", "_before"))
+    rows = storage.staged(rows.withColumn(at, F.monotonically_increasing_id()), "append")
+    counts = rows.groupBy(F.shiftright(at, 33).alias("_range")).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_range", first, F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))  # a row for each partition
+    rows = rows.join(F.broadcast(counts), F.shiftright(at, 33) == F.col("_range"))
+    new = {"id": F.col(before) + F.col(at) - F.col(first) + (top + 1), "created_at": F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")}
     value = {n: new[n] if n in new else F.col(f"`{n}`") if n in rows.columns else F.lit(None) for n, _ in kinds}
-    rows.select(*[value[n].cast(kind).alias(n) for n, kind in kinds]).write.mode("append").parquet(f"{root}/{table}")
+    seen = Observation(f"append-{uuid.uuid4().hex}")
+    rows.select(*[value[n].cast(kind).alias(n) for n, kind in kinds]).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{root}/{table}")
+    return int(seen.get["rows"])

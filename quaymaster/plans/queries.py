@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .. import schemas
-from ..operators import export, matching, pricing, state, views
+from .. import dims
+from ..operators import aliases, export, matching, pricing, state, views
 from ..sources import documents, forms, reference
 from . import adapters as ad
 from . import oracle as o
@@ -153,6 +154,11 @@ def normalize_work_type(spark: SparkSession, d: str) -> DataFrame:
     return t.with_work_type(ad.vouchers(spark, d).select("id", "work_type"), F.col("work_type"), "canonical").select("id", "canonical")
 
 
+@_query("alias_table", f"WITH {ad.VOUCHERS_SQL} SELECT id, {o.work_type('work_type')} AS canonical FROM vouchers")
+def alias_table(spark: SparkSession, d: str) -> DataFrame:
+    return aliases.normalize(ad.vouchers(spark, d).select("id", "work_type"), "work_type", dims.work_type_aliases(spark), "canonical").select("id", "canonical")
+
+
 @_query("tug_count", f"WITH {ad.VOUCHERS_SQL} SELECT id, {o.tugs_in('joint_with')} AS tugs FROM vouchers")
 def tug_count(spark: SparkSession, d: str) -> DataFrame:
     return ad.vouchers(spark, d).select("id", t.tug_count(F.col("joint_with")).alias("tugs"))

@@ -33,4 +33,5 @@ def create_all(spark: SparkSession, root: str) -> None:
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
+    """A stored table: its own files and those of its batches."""
+    return spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", True).parquet(f"{root}/{table}")

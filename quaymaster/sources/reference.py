@@ -26,8 +26,7 @@ def start(spark: SparkSession, settings: dims.Settings | None = None) -> dims.Se
     root = f"{settings.data_dir}/tables"
     schemas.create_all(spark, root)
     for name, rows in zip(("tugs", "agents"), seed(spark, schemas.read(spark, root, "tugs"), schemas.read(spark, root, "agents")), strict=True):
-        if not rows.isEmpty():
-            append(rows, root, name)
+        append(rows, root, name)
     return settings
 
 
@@ -39,10 +38,6 @@ def import_workbook(spark: SparkSession, data: bytes, tugs: DataFrame, agents: D
 
 
 def import_into(spark: SparkSession, data: bytes, root: str) -> dict[str, int]:
-    """Append a workbook's new tugs and agents to the stored tables; how many of each were added."""
+    """Append a workbook's new tugs and agents to the stored tables; how many of each were added, counted while they are written."""
     new = import_workbook(spark, data, schemas.read(spark, root, "tugs"), schemas.read(spark, root, "agents"))
-    added = {name: rows.count() for name, rows in new.items()}
-    for name, rows in new.items():
-        if added[name]:
-            append(rows, root, name)
-    return added
+    return {name: append(rows, root, name) for name, rows in new.items()}
