@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, slices, take_turn, text_bytes
+from .common import arrow_map, slices, staged, take_turn, text_bytes
 
 Q = 12
 #: A region has so many bytes, or is the whole of a shorter item; and so many edits a byte.
@@ -109,6 +109,8 @@ class Index:
         rules = [budget(len(t)) for t in self.items]
         self.region, self.edits, self.bound = (np.array(c, dtype=np.int64) for c in zip(*rules, strict=True)) if rules else (np.empty(0, np.int64),) * 3
         self.spread = np.array([windows(len(t))[-1][1] for t in self.items], dtype=np.int64)
+        # added to diagonals, so that those of the longest item's end aren't below 0
+        self.origin = -(-(max(map(len, self.items), default=0) + BAND + int(self.spread.max(initial=0))) // BAND) * BAND
         self.short = [i for i, t in enumerate(self.items) if 0 < len(t) < Q]
         hashes, item, place = [], [], []
         for i, t in enumerate(self.items):
@@ -142,7 +144,7 @@ class Index:
             shared = np.bincount(part, weights=np.concatenate([n for _, n in parts]), minlength=len(key))
             key = key[shared >= self.bound[key >> 40]]
             for item, band in zip((key >> 40).tolist(), (key & ((1 << 40) - 1)).tolist(), strict=True):
-                found.update(self._aligned(data, begin, item, band * BAND - REGION * 1000))
+                found.update(self._aligned(data, begin, item, band * BAND - self.origin))
         for item in self.short:
             whole = data.tobytes()
             at = whole.find(self.items[item])
@@ -176,7 +178,7 @@ class Index:
         count = self.count[gram]
         entry = np.repeat(self.first[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at, item, place = np.repeat(at, count), self.item[entry], self.place[entry]
-        diagonal = at - place + REGION * 1000  # never below 0
+        diagonal = at - place + self.origin
         band = diagonal // BAND
         low = diagonal % BAND < self.spread[item]  # also in the overlap of the band before
         item, band = np.concatenate([item, item[low]]), np.concatenate([band, band[low] - 1])
@@ -264,20 +266,23 @@ def stretches(pattern: bytes, text: np.ndarray, diagonal: int, width: int, regio
         yield int(x[0]), int(y[0]), int(n[0])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[bytes], str]]:
-    """Ids and texts of the items, about BLOCK_BYTES at a time, and the ids' type."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[bytes], bool]]:
+    """Ids and texts of the items, about BLOCK_BYTES at a time, and whether there are several blocks.
+
+    What a block finds is written before the next one comes, so that the driver holds one at a time.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), text_bytes(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        yield [r["item"] for r in rows], [bytes(r["text"]) for r in rows], items.schema["item"].dataType.simpleString()
+        yield [r["item"] for r in rows], [bytes(r["text"]) for r in rows], blocks > 1
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any region of the benchmark, with all their columns."""
     place = docs.columns.index(text_col)
-    for ids, texts, _ in _blocks(benchmark, item_col, item_text_col):
+    for ids, texts, several in _blocks(benchmark, item_col, item_text_col):
 
         def keep(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             take_turn("decontaminate")
@@ -289,6 +294,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array(clean))
 
         docs = arrow_map(docs, keep, docs.schema)
+        docs = staged(docs, "clean") if several else docs
     return docs
 
 
@@ -297,10 +303,10 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     slim = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     id_kind = slim.schema["id"].dataType.simpleString()
     out = None
-    for ids, texts, item_kind in _blocks(benchmark, item_col, item_text_col):
-        item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
+    item_kind, item_arrow = benchmark.schema[item_col].dataType.simpleString(), to_arrow_type(benchmark.schema[item_col].dataType)
+    for ids, texts, several in _blocks(benchmark, item_col, item_text_col):
 
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             take_turn("decontaminate")
             index = Index(ids, texts)
             for batch in slices(batches, "text", STEP):
@@ -313,5 +319,6 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                     )
 
         part = arrow_map(slim, search, f"id {id_kind}, item {item_kind}, start long, end long, edits long")
+        part = staged(part, "regions") if several else part
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")

@@ -8,7 +8,8 @@ Forward-backward marginals of all words give a document's score, by a logistic m
 maximum fitted on the same documents, and the offsets of offending words.
 
 The model is fitted on a bounded sample of labelled rows (``max_toxic`` and ``max_clean`` documents,
-those with the smallest hashes of their ids, and ``max_bytes`` of text); every document is scored whole, and a
+those with the smallest hashes of their ids, and ``max_bytes`` of text; a text that doesn't fit any more
+is left out, and if none fits, that is a warning); every document is scored whole, and a
 sentence is one chain however long it is.
 
 Edge cases: a null or empty text has no words and gets the score of no offence; rows of the label table
@@ -19,6 +20,7 @@ rows every score is 0; repeated rows are scored one by one; an empty table gives
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_map, fold, slices, take_turn, text_bytes
 
@@ -227,10 +228,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
         part = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
         drawn = part if drawn is None else drawn.unionByName(part)
     slim = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    found = slim.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "text", "toxic")
-    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
-    few = found.orderBy(*order).limit(max_toxic + max_clean).withColumn("upto", F.sum(F.octet_length("text")).over(Window.orderBy(*order)))
-    got = sorted(((r["id"], bytes(r["text"]), r["toxic"]) for r in few.where(F.col("upto") <= max_bytes).collect()), key=lambda r: (r[0], r[1]))
+    found = slim.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", F.xxhash64("text").alias("name"), F.octet_length("text").alias("n"), "text", "toxic")
+    # lengths first: a text that doesn't fit any more stays out, not those behind it
+    few = found.select("id", "name", "n").distinct().orderBy(F.xxhash64("id"), "id", "name").limit(max_toxic + max_clean).collect()
+    chosen, used = [], 0
+    for r in few:
+        if used + r["n"] <= max_bytes:
+            chosen.append((r["id"], r["name"]))
+            used += r["n"]
+    if not chosen:
+        warnings.warn(f"no labelled text has at most {max_bytes} bytes, so nothing can be learned", stacklevel=2)
+        return [], np.empty(0, dtype=bool), np.empty(0)
+    picked = docs.sparkSession.createDataFrame(chosen, f"id {slim.schema['id'].dataType.simpleString()}, name bigint")
+    texts = found.join(F.broadcast(picked), ["id", "name"]).groupBy("id", "name").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    got = sorted(((r["id"], bytes(r["text"]), r["toxic"]) for r in texts.collect()), key=lambda r: (r[0], r[1]))
     toxic = np.array([t == 1 for _, _, t in got], dtype=bool)
     weight = np.where(toxic, sizes[1] / max(1, int(toxic.sum())), sizes.get(0, 0) / max(1, int((~toxic).sum())))
     return [t for _, t, _ in got], toxic, weight
