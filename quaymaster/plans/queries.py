@@ -445,7 +445,7 @@ def works_per_application(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("id", F.size("works").cast("long").alias("n"), F.array_join(F.transform("works", lambda w: w["id"].cast("string")), ",").alias("works"))
 
 
-_HTML = "concat('<p>ЗАЯВКА</p><table><tr><td>№</td><td>Перечень</td><td>Сведения</td></tr><tr><td>1</td><td>Название судна</td><td>', c_name, '</td></tr><tr><td>2</td><td>Брутто/нетто</td><td>', CAST(c_custkey AS {0}), ' / 7</td></tr></table>')"
+_HTML = "concat('<h3>Приём судна</h3><table><tr><td>поз.</td><td>что</td><td>значение</td></tr><tr><td>1</td><td>Название судна</td><td>', c_name, '</td></tr><tr><td>2</td><td>Брутто/нетто</td><td>', CAST(c_custkey AS {0}), ' / 7</td></tr></table>')"
 
 
 @_query("html_table_fields", "SELECT c_custkey, c_name AS vessel_name, CAST(c_custkey AS INT) AS gross_tonnage, CAST(7 AS INT) AS net_tonnage FROM customer")
