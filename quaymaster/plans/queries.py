@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import text as t
 from .. import schemas
 from .. import dims
 from ..operators import aliases, export, matching, pricing, state, views
-from ..sources import documents, forms, reference
+from ..sources import documents, forms, rate_service, reference
 from . import adapters as ad
 from . import oracle as o
 
@@ -144,6 +145,45 @@ def xml_number(spark: SparkSession, d: str) -> DataFrame:
     return ad.load(spark, d, "part").select("p_partkey", t.xml_number(F.expr(_XML_NUMBER.format(s="STRING")), "1").alias("value"))
 
 
+def _rate_document(day: datetime.date) -> bytes:
+    n = (day - datetime.date(1970, 1, 1)).days
+    if n % 11 == 0:
+        raise LookupError(f"no rates of {day}")
+    return f'<?xml version="1.0" encoding="windows-1251"?><ValCurs><Valute><CharCode>USD</CharCode><Nominal>10</Nominal><Value>{700 + n % 1000 / 4:.2f}</Value></Valute></ValCurs>'.replace(".", ",").replace("1,0", "1.0").encode()
+
+
+@_query(
+    "rates_from_xml",
+    """WITH d AS (SELECT o_orderdate AS day, count(*) AS orders, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS n FROM orders GROUP BY o_orderdate)
+    SELECT strftime(day, '%Y-%m-%d') AS day, orders, CASE WHEN n % 11 <> 0 THEN (700 + (n % 1000) / 4.0) / 10 END AS rate, CASE WHEN n % 11 = 0 THEN 'LookupError: no rates of ' || strftime(day, '%Y-%m-%d') END AS error FROM d""",
+)
+def rates_from_xml(spark: SparkSession, d: str) -> DataFrame:
+    days = ad.load(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("rate_date")).agg(F.count(F.lit(1)).alias("orders"))
+    every = rate_service.rates(spark, _rate_document, datetime.date(1990, 1, 1), datetime.date(2003, 12, 31))
+    found = days.join(rate_service.rates_of(days, "rate_date", every), "rate_date", "left")
+    return found.select(F.date_format("rate_date", "yyyy-MM-dd").alias("day"), "orders", "rate", "error")
+
+
+_ICE = "WHERE is_ice AND gross_tonnage >= 2000 AND work_type IN ('Швартовка', 'отшвартовка') AND started_dt IS NOT NULL"
+
+
+@_query("ice_rates", f"WITH {ad.WORKS_SQL} SELECT id, {o.rounded("CAST(gross_tonnage AS DOUBLE) * CASE work_type WHEN 'Швартовка' THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END", 2)} AS amount FROM works {_ICE}")
+def ice_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Works in ice under a tariff that has an ice rate, and under one that has none."""
+    works = ad.works(spark, d).where(_ICE.removeprefix("WHERE ")).withColumns({"agent": F.lit("ice"), "tug_count": F.lit(1), "escort_hours": F.lit(None).cast("double")})
+    tariffs = spark.createDataFrame([("ice", "швартовка", "per_ton", "RUB", 0.5, 0.75), ("ice", "отшвартовка", "per_ton", "RUB", 0.5, None)], "agent string, work_type string, unit string, currency string, rate double, rate_ice double")
+    return pricing.price_works(works, ad.fx_rate(spark), ad.calendar_day(spark), tariffs=tariffs).select("id", "amount")
+
+
+_ODD = "CASE o_orderkey % 4 WHEN 0 THEN 'вход' WHEN 1 THEN 'Вход' WHEN 2 THEN 'nowhere' ELSE '' END"
+
+
+@_query("form_directions", f"SELECT o_orderkey AS row_id, CASE WHEN {_ODD} = 'вход' THEN 'вход' ELSE 'прочее' END AS direction FROM orders")
+def form_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Directions that the domain lacks become the rest."""
+    return ad.load(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), t.coerce_domain(F.expr(_ODD), dims.DIRECTIONS, "прочее").alias("direction"))
+
+
 @_query("norm_vessel_name", f"SELECT c_custkey, {o.norm_name('c_name')} AS name FROM customer")
 def norm_vessel_name(spark: SparkSession, d: str) -> DataFrame:
     return ad.load(spark, d, "customer").select("c_custkey", t.norm_name(F.col("c_name")).alias("name"))
