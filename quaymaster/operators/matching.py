@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,10 +82,14 @@ def top_candidates(apps: DataFrame, vouchers: DataFrame, k: int = 20, min_score:
     ids are enough: of a list's first ``k`` those that stand on a higher level are taken already, so as many
     as are still missing remain.  Null and blank names, types and days are no keys.
     """
-    # the features are looked at once for each list, and found once
-    a, v = (staged(df, f"match-{name}") for df, name in zip(_features(apps, vouchers), ("applications", "vouchers"), strict=True))
+    a, v = _features(apps, vouchers)
+    # the features are looked at once for each list, and found once; few bytes make much work below, so applications are dealt out
+    a = staged(a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "application_id"), "match-applications")
+    v = staged(v, "match-vouchers")
     v = v.toDF("voucher_id", "a_name", "a_type", "v_day")
-    near = v.withColumn("a_day", F.explode(F.array(*[F.date_add("v_day", i) for i in (-1, 0, 1)])))
+    days = lambda df: df.withColumn("a_day", F.explode(F.array(*[F.date_add("v_day", i) for i in (-1, 0, 1)])))
+    # what a type and a day have is cut to k before either alone is looked at: their own first k are among those
+    few = staged(_first_ids(v, ["a_type", "v_day"], k, "ids").select("a_type", "v_day", F.explode("ids").alias("voucher_id")), "match-types")
     keys = {"name, type, day": (10, ["a_name", "a_type", "a_day"]), "name, type": (8, ["a_name", "a_type"]), "name, day": (7, ["a_name", "a_day"]), "name": (5, ["a_name"]), "type, day": (5, ["a_type", "a_day"]), "type": (3, ["a_type"]), "day": (2, ["a_day"])}
     shown = dict(zip(("name", "type", "day"), REASONS, strict=True))
     need, entries, none = math.ceil(min_score * 10 - 1e-9), [], F.array().cast("array<bigint>")
@@ -95,7 +100,8 @@ def top_candidates(apps: DataFrame, vouchers: DataFrame, k: int = 20, min_score:
     for code, (points, columns) in enumerate(keys.values()):
         if points < need:
             continue
-        source = near if "a_day" in columns else v
+        source = v if "a_name" in columns else few
+        source = days(source) if "a_day" in columns else source
         source = source.where(" AND ".join(f"{c} IS NOT NULL" if c == "a_day" else f"{c} <> ''" for c in columns))
         a = a.join(_first_ids(source, columns, k, f"_list{code}"), columns, "left")
         entries.append(entry(code, points))
@@ -118,13 +124,16 @@ def ranked(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("application_id").orderBy(F.desc("score"), "voucher_id"))).orderBy("application_id", "rank")
 
 
-def create_works(accepted: DataFrame, apps: DataFrame, vouchers: DataFrame) -> DataFrame:
-    """Work rows of accepted (application_id, voucher_id) pairs; a pair with a missing side gives none."""
+def create_works(accepted: DataFrame, apps: DataFrame, vouchers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Work rows of accepted (application_id, voucher_id) pairs; a pair with a missing side gives none.
+
+    ``keep`` names further columns of the vouchers that come along, so that what needs them later doesn't join the vouchers again.
+    """
     a = apps.select(F.col("id").alias("application_id"), F.col("vessel_name").alias("_vessel"), F.col("agent").alias("_agent"), "gross_tonnage")
     v = vouchers.withColumnRenamed("id", "voucher_id")
     return accepted.select("application_id", "voucher_id").join(a, "application_id").join(v, "voucher_id").select(
         F.lit("matched").alias("status"), "application_id", "voucher_id", "tug_id", t.first_filled(F.col("vessel_name"), F.col("_vessel")).alias("object_name"), "work_type",
-        t.first_filled(F.col("agent"), F.col("_agent")).alias("agent"), "left_base_dt", "arrived_base_dt", "started_dt", "finished_dt", "gross_tonnage", "is_ice", "escort_hours",
+        t.first_filled(F.col("agent"), F.col("_agent")).alias("agent"), "left_base_dt", "arrived_base_dt", "started_dt", "finished_dt", "gross_tonnage", "is_ice", "escort_hours", *keep,
     )
 
 

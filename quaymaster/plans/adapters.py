@@ -62,7 +62,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every voucher accepted for the application of its order; a work's id is its voucher's."""
     v = vouchers(spark, sf_dir)
     accepted = v.select("application_id", F.col("id").alias("voucher_id"))
-    made = create_works(accepted, applications(spark, sf_dir), v.drop("application_id"))
+    made = create_works(accepted, applications(spark, sf_dir), v.drop("application_id"), keep=["joint_with"])
     return made.withColumn("id", F.col("voucher_id"))
 
 

@@ -55,9 +55,8 @@ def vouchers_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
-    w = ad.works(spark, d)
-    joint = ad.vouchers(spark, d).select(F.col("id").alias("voucher_id"), t.tug_count(F.col("joint_with")).alias("tug_count"))
-    return pricing.price_works(w.join(joint, "voucher_id"), ad.fx_rate(spark), ad.calendar_day(spark))
+    w = ad.works(spark, d).withColumn("tug_count", t.tug_count(F.col("joint_with"))).drop("joint_with")
+    return pricing.price_works(w, ad.fx_rate(spark), ad.calendar_day(spark))
 
 
 _RESULT = ["id", "work_minutes", "busy_minutes", "amount", "currency", "cbr_rate", "revenue_rub", "calc_note", "calc_error", "pricing"]
