@@ -7,7 +7,8 @@ import pytest
 
 from quaymaster.llm import decontaminate, toxicity
 
-WORDS = [f"w{i:03d}x" for i in range(900)]
+# words that have little in common, so that a region's ends are clear
+WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=5)) for i in range(900)]
 
 
 def words(r, size):
@@ -19,7 +20,7 @@ def words(r, size):
 def test_regions_of_long_items_at_every_place_of_a_step(size, place):
     r = random.Random(size)
     item, other = words(r, size), words(r, 400)
-    for begin, end in ((0, 3000), (size // 2, size // 2 + 3000), (len(item) - 3000, len(item))):
+    for begin, end in ((0, 1000), (size // 2, size // 2 + 1000), (len(item) - 1000, len(item))):
         passage = item[begin:end].strip()
         texts = [words(r, 500) for _ in range(4)]
         texts[place] = passage + " " + texts[place]
@@ -53,7 +54,7 @@ def test_the_sample_survives_one_long_text(spark):
     )
     few = len(take(rows, 2000)[0])
     assert few > 80
-    for long in range(8):  # whatever its place in hash order
+    for long in range(3):  # whatever its place in hash order
         texts, toxic, weight = take([x if x[0] != long else (long, "a " * 1700, 1) for x in rows], 2000)
         assert len(texts) >= few - 1 and toxic.any() and not toxic.all() and sum(map(len, texts)) <= 2000
     # repeated rows of an id count once, contradictory labels as toxic
