@@ -1,43 +1,52 @@
 """PII: surrogate generation.
 
 Detected entities (e-mail and IPv4 addresses, telephone, card, account and social-security numbers, access keys,
-secrets that are named as such, and persons after a title or a label such as "Name:", and where a text names them again in full) receive keyed replacements of the same type, script,
-length and format.  The characters that vary form a number in a mixed radix, which a keyed permutation of
-exactly that range (a Feistel network with cycle walking) maps to another: different values get different
-surrogates by construction, and a value the same one wherever and however it is written.  Check digits
-are made to hold where they held.  A person's given name comes from a list of its title's gender, the
-surname keeps its vowels and consonants in place.
+secrets that are named as such, and persons after a title or a label such as "Name:", and where a text names them again in full, as written or in capitals)
+receive keyed replacements of the same type, script, length and format.  The characters that vary form a number in
+a mixed radix, which a keyed permutation without fixed points of exactly that range (a rotation between a Feistel
+network with cycle walking and its inverse) maps to another: different values get different surrogates by
+construction, none stays as it is, and a value gets the same one wherever and however it is written.  Check digits
+are made to hold where they held.  A person's given name comes from a list of script and gender, the surname keeps
+its script, vowels, consonants, accents and capitals in place; in other scripts both are spelled anew, an ideograph by any other.
+A person has one surrogate in a text whatever the titles, unless they name both genders.
 
 Collisions are checked over all rows: a surrogate that is a value of the data, or that another value got
 too, makes the value try again under the next key, until none is left; only such exceptions travel to the texts
-that need them.  A given name that tries again often becomes a double, triple, ... name of the list, so persons
-never run out of names; where another range has no free value, an error is raised.
+that need them.  A value that tries again often has a full range and gets a longer surrogate: a double, triple, ...
+given name, more digits, an address of any length.  A lone surname may get another's real one: its surrogate is
+the one that full names of that surname have.
 
 Edge cases: a null text stays null and an empty one empty, both without entities; overlapping finds go to
-the earlier, then the longer; repeated rows give repeated results; an empty table gives no rows.
+the earlier, then the longer; repeated rows give repeated results; an empty table gives no rows.  Of ideographs
+after a title, which no space ends, the first four at most count as the name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, staged, take_turn
 
-#: Rounds without fewer collisions after which a range counts as full.
+#: Rounds without fewer collisions after which an error is raised.
 ATTEMPTS = 30
-#: Attempts that a person makes with so many given names before one more is added, and an address in its own letters.
+#: Attempts that a value makes in its own range before a name or a character is added, and again for each further one.
 WIDEN = 3
 #: Exceptions that are sent to all tasks; more are joined to the texts that hold them.
 MAX_SENT = 100_000
+#: Parts that each text's exceptions are joined in, so that copies of one text don't meet in one task.
+SALTS = 16
 
 # Alphabets whose letters replace each other, titles with their gender, names by script and gender.
-ALPHABETS = ["aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αειουηω", "βγδζθκλμνξπρστφχψ"]
+ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь", "αειουηω", "βγδζθκλμνξπρστφχψ", "ς", "אבגדהוזחטיכלמנסעפצקרשת", "ךםןףץ", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह"]
 HEX = "0123456789abcdef"
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Г-н": "m", "Господин": "m",
@@ -51,8 +60,13 @@ GIVEN = {
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Максим Николай Олег Павел Роман Сергей Тимур Юрий".split(),
     ("cyrillic", "f"): "Алина Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лариса Мария Нина Ольга Полина Раиса Софья Татьяна".split(),
     ("cyrillic", "n"): "Женя Саша Валя Слава".split(),
+    ("greek", "m"): "Γιώργος Γιάννης Δημήτρης Κώστας Μιχάλης Νίκος Παύλος Πέτρος Σπύρος Στέφανος".split(),
+    ("greek", "f"): "Αγγελική Άννα Βασιλική Δήμητρα Ειρήνη Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
 }
 
+# Calling codes of one and of two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
 _ALPHABET = {c: a for a in ALPHABETS for c in a}
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
@@ -66,14 +80,54 @@ _SECRET_NAMES = ("assw", "ecret", "oken", "pwd", "_key", "-key", "ikey", "ASSW",
 # Prefixes of access keys, and what follows them.
 _KEY = re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})(?![\w-])")
 _KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
-_PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)?)(?!\w)")
+# a capital or a letter without case, then letters; O' before and capitals after an apostrophe, but not a possessive
+_NAME = r"(?:\p{Han}{1,4}|(?:\p{Lu}['’]\p{L}|[\p{Lu}\p{Lt}\p{Lo}])[\p{L}\p{M}]+(?:(?:-|['’](?=\p{Lu})(?![sS]\b))[\p{L}\p{M}]+)*(?![\w\p{M}]))"
+_INITIALS = r"(?:\p{Lu}(?:\. ?| ))+"
+_TITLE = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? ")
+_AFTER_TITLE = regex.compile(rf"(?:(?P<given>{_INITIALS})(?P<surname>{_NAME})|(?P<given>{_NAME}) (?P<surname>{_NAME})|(?P<surname>{_NAME}))")
 # Labels of a person's name.
 _LABELS = ("Name", "Full name", "Contact person", "Customer name", "Имя", "ФИО")
-_LABELLED = re.compile(r"(?<!\w)(?:" + "|".join(_LABELS) + r"): ?([^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?) ([^\W\d_a-zа-я][^\W\d_]+(?:-[^\W\d_]+)?)(?!\w)")
-_GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names}
+_LABEL = re.compile(r"(?<!\w)(?:" + "|".join(_LABELS) + r"): ?")
+_AFTER_LABEL = regex.compile(rf"(?:(?P<given>{_NAME}) (?P<surname>{_NAME})|(?P<surname>\p{{Han}}{{2,4}}))")
+_GENDER = {name.lower(): gender for (_, gender), names in GIVEN.items() for name in names}
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 
+@lru_cache(maxsize=65536)
+def alphabet(c: str) -> str:
+    """The letters that may stand for a lower-case letter: of its script, and vowel, consonant or accent like it; itself alone if it doesn't vary.
+
+    Every letter of an alphabet has the same alphabet.
+    """
+    if c in _ALPHABET or not c.isalpha():
+        return _ALPHABET.get(c, c)
+    if "\u4e00" <= c <= "\u9fff":
+        return _block(0x4E00, 0xA000, "Lo", "CJK")
+    if "\uac00" <= c <= "\ud7a3":
+        return _block(0xAC00, 0xD7A4, "Lo", "HANGUL")
+    base, marks = (d := unicodedata.normalize("NFD", c))[0], d[1:]
+    if base in _ALPHABET:
+        made = [unicodedata.normalize("NFC", x + marks) for x in _ALPHABET[base]]
+        return "".join(x for x in made if len(x) == 1 and x not in _ALPHABET and (x < "\u0280", _has_capital(x)) == (c < "\u0280", _has_capital(c))) if c in made else c
+    start = ord(c) >> 7 << 7
+    return _block(start, start + 128, unicodedata.category(c), _script(c), _has_capital(c))
+
+
+def _has_capital(c: str) -> bool:
+    return c.upper() != c and c.upper().lower() == c and len(c.upper()) == 1
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "UNNAMED").split(" ")[0].split("-")[0]
+
+
+@lru_cache(maxsize=None)
+def _block(start: int, end: int, category: str, script: str, capital: bool = False) -> str:
+    """Letters of one kind in a range of code points, without those that other alphabets hold."""
+    found = (c for c in map(chr, range(start, end)) if unicodedata.category(c) == category and _script(c) == script and c not in _ALPHABET and c.lower() == c and _has_capital(c) == capital)
+    return "".join(c for c in found if unicodedata.normalize("NFD", c)[0] not in _ALPHABET)
+
+
 def luhn(digits: str) -> int:
     """The check digit that ``digits`` call for."""
     total = 0
@@ -103,11 +157,12 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     if _ANY_DIGIT.search(text):
         found += ((m.start(), m.end(), "ip", m.group()) for m in _IP.finditer(text))
         for m in _PHONE.finditer(text):
-            head, _, tail = m.group().replace("(", " ").replace(")", " ").replace("-", " ").replace(".", " ").partition(" ")
-            code, rest = (head, tail) if head.startswith("+") else ("", head + tail)
-            digits = re.sub(r"\D", "", rest)
+            code, digits = "1", re.sub(r"\D", "", m.group())  # without a code only the ten-digit forms of code 1 are numbers
+            if m.group()[0] == "+":
+                n = next((n for n in (1, 2) if digits[:n] in _CODES), 3)
+                code, digits = digits[:n], digits[n:]
             if len(digits) >= 6:
-                found.append((m.start(), m.end(), "phone", f"{code}/{digits}"))
+                found.append((m.start(), m.end(), "phone", f"+{code}/{digits}"))
         for m in _CARD.finditer(text):
             digits = re.sub(r"\D", "", m.group())
             if luhn(digits[:-1]) == int(digits[-1]) or (len(digits) == 16 and digits[0] in "3456"):
@@ -123,20 +178,17 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         found += ((m.start(1), m.end(1), "secret", m.group(1)) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m.group(1)))
     if any(p in text for p in _KEY_PREFIXES):
         found += ((m.start(), m.end(), "key", m.group()) for m in _KEY.finditer(text))
+    people: list[tuple[int, int, str, str, str]] = []  # start, end, gender, given name, surname
     if any(f"{t} " in text or f"{t}. " in text for t in TITLES):
-        for m in _PERSON.finditer(text):
-            names = m.group(2).split(" ")
-            given = names[0] if len(names) > 1 else ""
-            found.append((m.start(2), m.end(2), "person", f"{TITLES[m.group(1)]}/{given}/{names[-1]}"))
+        for m in _TITLE.finditer(text):
+            if name := _AFTER_TITLE.match(text, m.end()):
+                people.append((*name.span(), TITLES[m.group(1)], (name["given"] or "").strip().lower(), name["surname"].lower()))
     if any(f"{w}:" in text for w in _LABELS):
-        for m in _LABELLED.finditer(text):
-            found.append((m.start(1), m.end(2), "person", f"{_GENDER.get(m.group(1), 'n')}/{m.group(1)}/{m.group(2)}"))
-    # full names that were found are persons wherever the text has them
-    people = {" ".join(v.split("/")[1:]): v for _, _, kind, v in found if kind == "person" and "//" not in v}
+        for m in _LABEL.finditer(text):
+            if name := _AFTER_LABEL.match(text, m.end()):
+                people.append((*name.span(), "n", (name["given"] or "").lower(), name["surname"].lower()))
     if people:
-        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(people))) + r")(?!\w)")
-        known = {(s, e) for s, e, kind, _ in found if kind == "person"}
-        found += ((*m.span(), "person", people[m.group()]) for m in again.finditer(text) if m.span() not in known)
+        found += _persons(text, people)
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:
@@ -146,6 +198,27 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _persons(text: str, people: list[tuple[int, int, str, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """Entities of persons that titles and labels name, and of all places that name them again in full."""
+    genders: dict[tuple[str, str], set[str]] = {}
+    for _, _, gender, given, surname in people:
+        genders.setdefault((given, surname), set()).add(gender)
+    again = {}
+    for start, end, gender, given, surname in people:
+        sure = genders[given, surname] - {"n"}
+        if gender == "n":  # another title's gender, or the given name's
+            gender = min(sure) if len(sure) == 1 else _GENDER.get(given, "n")
+        value = f"{gender}/{given}/{surname}" if given else f"n//{surname}"
+        if given:
+            again.setdefault(text[start:end], value)
+            again.setdefault(text[start:end].upper(), value)
+        yield start, end, "person", value
+    if again:
+        names = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(again, reverse=True))) + r")(?!\w)")
+        known = {(s, e) for s, e, *_ in people}
+        yield from ((*m.span(), "person", again[m.group()]) for m in names.finditer(text) if m.span() not in known)
+
+
 class Surrogates:
     """Keyed replacements of values; ``attempt`` chooses another permutation of the same range."""
 
@@ -157,18 +230,34 @@ class Surrogates:
         return int.from_bytes(hashlib.blake2b(data, key=self.key[:64], digest_size=32).digest(), "big")
 
     def permute(self, x: int, size: int, name: str) -> int:
-        """A keyed permutation of range(size)."""
+        """A keyed permutation of range(size) that moves every number, if there are two at least."""
         if size < 2:
             return x
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
-        while True:
-            left, right = x >> half, x & mask
-            for turn in range(6):
-                left, right = right, left ^ (self._hash(name, size, turn, right) & mask)
-            x = left << half | right
-            if x < size:  # else walk on along the cycle
-                return x
+
+        def mixed(x: int, turns: range) -> int:
+            while True:
+                left, right = x >> half, x & mask
+                for turn in turns:
+                    if turns.step > 0:
+                        left, right = right, left ^ (self._hash(name, size, turn, right) & mask)
+                    else:
+                        left, right = right ^ (self._hash(name, size, turn, left) & mask), left
+                x = left << half | right
+                if x < size:  # else walk on along the cycle
+                    return x
+
+        turned = mixed(x, range(6)) + 1 + self._hash("turn", name, size) % (size - 1)
+        return mixed(turned % size, range(5, -1, -1))
+
+    def more(self, kind: str, value: str, attempt: int, letters: str) -> str:
+        """What a value whose range is full gets more: a character for every ``WIDEN`` attempts."""
+        x, out = self._hash("more", kind, attempt, value), ""
+        for _ in range(attempt // WIDEN):
+            x, i = divmod(x, len(letters))
+            out += letters[i]
+        return out
 
     def spelled(self, value: str, choices: list[str], name: str) -> str:
         """Replace every character by one of its choices; a character with one choice stays."""
@@ -183,8 +272,6 @@ class Surrogates:
         return "".join(reversed(out))
 
     def of(self, kind: str, value: str, attempt: int = 0) -> str:
-        name = f"{kind}/{attempt}/{re.sub('[0-9]', '0', value) if kind in ('email', 'secret') else len(value)}" if kind != "person" else f"person/{attempt}"
-        same = list
         if kind == "email":
             head, dot, top = value.rpartition(".")
             if attempt >= WIDEN:  # few letters to vary, or none
@@ -196,6 +283,12 @@ class Surrogates:
             name = f"email/{attempt}/{''.join('0' if c.isdigit() else 'a' if c in _ALPHABET else c for c in value)}"
             letters = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"}
             return self.spelled(head, [letters.get(c) or _ALPHABET.get(c, c) for c in head], name) + dot + top
+        if kind == "ip" and attempt >= WIDEN:
+            x = self._hash("ip", attempt, value)
+            return ".".join(str(x >> 8 * i & 255) for i in range(4)) if attempt < 10 * WIDEN else ":".join(f"{1 + (x >> 16 * i) % 0xFFFF:x}" for i in range(8))
+        if kind == "ip6" and attempt >= WIDEN:
+            x = self._hash("ip6", attempt, value)
+            return ":".join(f"{1 + (x >> 16 * i) % 0xFFFF:x}" for i in range(8))
         if kind == "ip":
             ranges = [["0123456789"], [str(i) for i in range(10, 100)], [str(i) for i in range(100, 256)]]
             parts = value.split(".")
@@ -219,51 +312,70 @@ class Surrogates:
         if kind == "phone":
             code, digits = value.split("/")
             lead = "123456789" if digits[0] != "0" else "0"
-            return code + "/" + self.spelled(digits, [lead, *["0123456789"] * (len(digits) - 1)], f"phone/{attempt}/{code}/{len(digits)}/{lead}")
+            return code + "/" + self.spelled(digits, [lead, *["0123456789"] * (len(digits) - 1)], f"phone/{attempt}/{code}/{len(digits)}/{lead}") + self.more(kind, value, attempt, "0123456789")
         if kind == "card":
             off = (int(value[-1]) - luhn(value[:-1])) % 10  # 0 where the check digit holds
-            body = value[0] + self.spelled(value[1:-1], ["0123456789"] * (len(value) - 2), f"card/{attempt}/{value[0]}/{len(value)}/{off}")
+            body = value[0] + self.spelled(value[1:-1], ["0123456789"] * (len(value) - 2), f"card/{attempt}/{value[0]}/{len(value)}/{off}") + self.more(kind, value, attempt, "0123456789")
             return body + str((luhn(body) + off) % 10)
         if kind == "iban":
             letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
             kinds = "".join("0" if c.isdigit() else "A" for c in value[4:])
-            body = self.spelled(value[4:], ["0123456789" if c.isdigit() else letters for c in value[4:]], f"iban/{attempt}/{value[:2]}/{kinds}")
+            body = self.spelled(value[4:], ["0123456789" if c.isdigit() else letters for c in value[4:]], f"iban/{attempt}/{value[:2]}/{kinds}") + self.more(kind, value, attempt, "0123456789")
             return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
         if kind == "ssn":
-            return self.spelled(value, ["0123456789"] * 9, f"ssn/{attempt}")
+            return self.spelled(value, ["0123456789"] * 9, f"ssn/{attempt}") + self.more(kind, value, attempt, "0123456789")
         if kind in ("secret", "key"):
             head = next((p for p in _KEY_PREFIXES if kind == "key" and value.startswith(p)), "")
+            tail = self.more(kind, value, attempt, "0123456789")
             value = value[len(head) :]
             if all(c in HEX for c in value):
-                return head + self.spelled(value, [HEX] * len(value), f"hex/{attempt}/{head}/{len(value)}")
+                return head + self.spelled(value, [HEX] * len(value), f"hex/{attempt}/{head}/{len(value)}") + tail
             plain = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
             chosen = [next((a for a in plain if c in a), c) for c in value]
-            return head + self.spelled(value, chosen, f"secret/{attempt}/{head}/{''.join(a[0] for a in chosen)}")
+            return head + self.spelled(value, chosen, f"secret/{attempt}/{head}/{''.join(a[0] for a in chosen)}") + tail
         gender, given, surname = value.split("/")
-        script = "cyrillic" if any("а" <= c <= "я" for c in (given + surname).lower()) else "latin"
-        chosen = [_ALPHABET.get(c, c) for c in surname]
-        family = self.spelled(surname, same(chosen), f"surname/{''.join(a[0] for a in chosen)}")
+        family = self.name(surname, "surname")
         if not given:
-            return f"{gender}//{family}"
-        names = GIVEN[script, gender]
-        x, chosen = self._hash("given", attempt, given.lower(), gender), []
+            return f"/{family}"
+        names = GIVEN.get((_script(given[0]).lower(), gender), [])
+        if not names or len(given) == 1 or "." in given or given[1] == " ":  # initials, and scripts without a list
+            first = self.name(given, f"given/{attempt}")
+            more = self.more(kind, value, attempt, alphabet(given[0]))
+            return f"{first}{''.join(c + '.' for c in more) if '.' in given else more}/{family}"
+        x, chosen = self._hash("given", attempt, given, gender), []
         for _ in range(1 + attempt // WIDEN):
             x, i = divmod(x, len(names))
-            chosen.append(names[i])
-        return f"{gender}/{'-'.join(chosen)}/{family}"
+            chosen.append(names[i].lower())
+        if chosen == [given]:
+            chosen = [names[(i + 1) % len(names)].lower()]
+        return f"{'-'.join(chosen)}/{family}"
+
+    def name(self, value: str, name: str) -> str:
+        """A lower-case name spelled anew in its script; one whose letters all have no other is made of others."""
+        choices = [alphabet(c) for c in value]
+        if all(len(a) == 1 for a in choices):
+            choices, value = ["aeiou" if i % 2 else ALPHABETS[1] for i in range(12)], "ba" * 6
+            name = f"{name}/{value}"
+        return self.spelled(value, choices, f"{name}/{''.join(a[0] for a in choices)}")
 
 
 def rendered(original: str, kind: str, surrogate: str) -> str:
     """The surrogate in the format of the text: separators and capitals stay where they were."""
     if kind == "person":
-        _, given, family = surrogate.split("/")
-        return f"{given} {family}" if given else family
+        given, family = surrogate.split("/")
+        own = original.rsplit(" ", 1)[-1] if given else original
+        own = own.rsplit(".", 1)[-1]  # J.Smith
+        own_given = original[: len(original) - len(own)].rstrip()
+        gap = original[len(own_given) : len(original) - len(own)]
+        return f"{_cased(own_given, given)}{gap}{_cased(own, family)}" if given else _cased(own, family)
     if kind in ("ip", "secret", "key"):
         return surrogate
     if kind == "ip6":
         return surrogate.upper() if original.isupper() else surrogate
     if kind == "email":
         return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate, strict=False)) if len(original) == len(surrogate) else surrogate
+    if kind == "phone" and not original.startswith("+"):
+        surrogate = surrogate.partition("/")[2]
     payload = surrogate.replace("/", "").replace("+", "")
     out, at = [], 0
     for c in original:
@@ -272,7 +384,22 @@ def rendered(original: str, kind: str, surrogate: str) -> str:
             at += 1
         else:
             out.append(c)
-    return "".join(out)
+    return "".join(out) + payload[at:]
+
+
+def _cased(original: str, name: str) -> str:
+    """``name``, which is in lower case, with the capitals of ``original``: letter by letter, or by its words."""
+
+    def upper(c: str) -> str:
+        return u if len(u := c.upper()) == 1 else c
+
+    if len(original) > 2 and original.isupper():
+        return "".join(map(upper, name))
+    if len(original) == len(name) and (len(name) < 3 or "'" in original or "’" in original or not original[1:].islower()):
+        return "".join(upper(n) if o.isupper() else n for o, n in zip(original, name, strict=True))
+    if not original[:1].isupper():
+        return name
+    return "".join(upper(c) if not i or name[i - 1] in "-." else c for i, c in enumerate(name))
 
 
 def _surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -287,27 +414,46 @@ def _surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     return arrow_map(entities, make, "kind string, value string, attempt int, surrogate string")
 
 
+def _shown(kind, value):
+    """What a value looks like as a surrogate: persons without their gender."""
+    return F.when(kind == "person", F.substring_index(value, "/", -2)).otherwise(value)
+
+
 def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
-    """kind, value and attempt of those values whose first surrogate collides; None if there are none."""
-    values = entities.select("kind", "value")
-    current = staged(_surrogate_table(values.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
-    some, fewest, idle = None, None, 0
+    """kind, value and attempt of those values whose first surrogate collides; None if there are none.
+
+    Only values that collide are made anew, and only their new surrogates are compared with the rest.
+    """
+    one = ["kind", "value"]
+    values = entities.select(*one)
+    real = values.select("kind", _shown(F.col("kind"), F.col("value")).alias("surrogate"))
+    lone = (F.col("kind") == "person") & F.col("value").like("%//%")
+    first = fresh = staged(_surrogate_table(values.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
+    moved = settled = None
+    fewest, idle = None, 0
     while True:
-        real = current.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").where("kind <> 'person' OR value NOT LIKE '%//%'").select("kind", "value")
-        shared = current.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("keeps")).where("n > 1")
-        shared = current.join(shared, ["kind", "surrogate"]).where(F.col("value") != F.col("keeps.value")).select("kind", "value")
-        bad = staged(real.unionByName(shared).distinct(), "pii-collisions")
+        taken = [fresh.where(~lone).join(real, ["kind", "surrogate"], "left_semi")]
+        if settled is not None:
+            taken.append(fresh.join(settled, ["kind", "surrogate"], "left_semi"))
+        keeps = fresh.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("keeps")).where("n > 1")
+        taken.append(fresh.join(keeps, ["kind", "surrogate"]).where("value <> keeps"))
+        bad = taken[0].select(*one, "attempt")
+        for more in taken[1:]:
+            bad = bad.unionByName(more.select(*one, "attempt"))
+        bad = staged(bad.distinct(), "pii-collisions")
         left = bad.count()
+        good = fresh.join(bad, one, "left_anti")
+        settled = good if settled is None else settled.unionByName(good)
+        if fresh is not first:
+            moved = good if moved is None else moved.unionByName(good)
         if not left:
-            return some
+            return None if moved is None else staged(moved.select(*one, "attempt"), "pii-moved")
         idle = 0 if fewest is None or left < fewest else idle + 1
         fewest = left if fewest is None else min(fewest, left)
         if idle >= ATTEMPTS:
             kinds = ", ".join(sorted(r["kind"] for r in bad.select("kind").distinct().collect()))
             raise ValueError(f"{left} values have no free surrogate in their range: {kinds}")
-        again = current.join(bad, ["kind", "value"], "left_semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        current = staged(current.join(bad, ["kind", "value"], "left_anti").unionByName(_surrogate_table(again, key)), "pii-surrogates")
-        some = current.where("attempt > 0").select("kind", "value", "attempt")
+        fresh = staged(_surrogate_table(bad.select(*one, (F.col("attempt") + 1).alias("attempt")), key), "pii-surrogates")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +485,9 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     else:
         sent = {}
         by_text = found.join(exceptions, ["kind", "value"]).groupBy(F.col("at").alias(f"{hint}at")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(hint))
-        rows = docs.join(by_text, where == F.col(f"{hint}at"), "left").select(*[docs[f"`{c}`"] for c in names], hint)
+        by_text = by_text.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{hint}salt"))
+        salt = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).cast("int")  # copies of one text are dealt out
+        rows = docs.join(by_text, (where == F.col(f"{hint}at")) & (salt == F.col(f"{hint}salt")), "left").select(*[docs[f"`{c}`"] for c in names], hint)
     entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     place = names.index(text_col)
 

@@ -474,7 +474,7 @@ def test_names_again_labels_and_addresses():
     text = "Name: Anna Smith. Later Anna Smith met Smith at 2001:db8::7F, ФИО: Борис Иванов; " + "x" * 90 + ".y@z.org and 10:20:30"
     found = pii.find_entities(text)
     assert [(k, text[s:e]) for s, e, k, _ in found] == [("person", "Anna Smith"), ("person", "Anna Smith"), ("ip6", "2001:db8::7F"), ("person", "Борис Иванов"), ("email", "x" * 90 + ".y@z.org")]
-    assert [v for _, _, k, v in found if k == "person"] == ["f/Anna/Smith", "f/Anna/Smith", "m/Борис/Иванов"]
+    assert [v for _, _, k, v in found if k == "person"] == ["f/anna/smith", "f/anna/smith", "m/борис/иванов"]
     own = pii.Surrogates("k")
     values = [f"2001:db8::{i:x}" for i in range(16)]
     assert sorted(len(own.of("ip6", v)) for v in values) == [11] * 16 and len({own.of("ip6", v) for v in values}) == 16
@@ -535,14 +535,51 @@ def test_more_given_names_than_the_list_holds(spark):
     assert got[200].endswith(".jp") and "日" not in got[200]
 
 
-def test_a_full_range_raises(spark, monkeypatch):
-    monkeypatch.setattr(pii, "ATTEMPTS", 1)
-    docs = spark.createDataFrame([(i, f"password=........{i}") for i in range(10)], "doc_id bigint, text string")
-    with pytest.raises(ValueError, match="secret"):
-        pii.replace_pii(docs, "key")
+def test_a_full_range_is_widened(spark):
+    texts = [f"password=........{i}" for i in range(10)] + [f"host {i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10} up" for i in range(10_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["entities"]) for r in pii.replace_pii(docs, "key").collect()}
+    new = [got[i][0][got[i][1][0]["start"] : got[i][1][0]["end"]] for i in range(len(texts))]
+    assert len(set(new)) == len(texts) and not set(new) & {v for t in texts for _, _, _, v in pii.find_entities(t)}
+
+
+NAMES = ["Mr 王明", "Ms 王", "Mr Γιώργος Παπάς", "Mr ΠΑΠΑΣ", "Mr O'Brien", "Mr D’Angelo", "Frau Müller", "Herr Weiß", "Señor Núñez", "Mr Çelik Østergård", "Mr محمد علي", "Mr משה כהן", "Mr 김철수", "Mr राम शर्मा", "Г-жа Ёлкина", "Г-н Йьъ", "Mr たなか", "Mr J. Smith", "Dr J R Smith", "Mr ASHRAF", "Mr Ññ"]
+
+
+@pytest.mark.parametrize("text", NAMES)
+def test_names_of_all_scripts_change_and_keep_their_script(text):
+    import unicodedata
+
+    ((start, end, kind, value),) = pii.find_entities(text)
+    assert kind == "person" and end == len(text)
+    for attempt in (0, 7):
+        old, new = text[start:end], pii.rendered(text[start:end], kind, pii.Surrogates("key").of(kind, value, attempt))
+        assert old.split()[-1] != new.split()[-1] and old != new
+        assert {unicodedata.name(c).split()[0].split("-")[0] for c in new if c.isalpha()} == {unicodedata.name(c).split()[0].split("-")[0] for c in old if c.isalpha()}
+        assert [c.isupper() for c in old.split()[-1]] == [c.isupper() for c in new.split()[-1]] or text == "Mr Ññ"
+
+
+def test_alphabets_are_disjoint():
+    for c in filter(str.isalpha, map(chr, [*range(0xD800), *range(0xE000, 0x10000)])):
+        if c.lower() == c:
+            own = pii.alphabet(c)
+            assert c in own and (len(own) > 1000 or all(pii.alphabet(x) == own for x in own))
+
+
+def test_one_surrogate_for_a_person_and_a_number(spark):
+    rows = ["Dr Ayla Smith met Ms Ayla Smith", "Mr John Smith, JOHN SMITH, Dr John Smith", "+1 555 123 4567 (555) 123-4567 555-123-4567 +15551234567", "Mr Alex Smith and Ms Alex Smith", "Mr O'Brien's and Dr Sean O'Brien's house", "Dr Anna Smith"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [r["text"][e["start"] : e["end"]] for e in r["entities"]] for r in pii.replace_pii(docs, "key").collect()}
+    assert len(got[0]) == 2 and len(set(got[0])) == 1 and got[0][0].split()[0] in pii.GIVEN["latin", "f"]
+    assert len(got[1]) == 3 and got[1][0] == got[1][2] and got[1][1] == got[1][0].upper() != got[1][0]
+    assert len(got[2]) == 4 and len({"".join(c for c in p if c.isdigit())[-10:] for p in got[2]}) == 1 and got[2][0].startswith("+1 ") and got[2][1].startswith("(")
+    assert len(got[3]) == 2 and len(set(got[3])) == 2
+    assert len(got[4]) == 2 and got[4][0] == got[4][1].split()[-1] and got[4][0][1] == "'" and "Brien" not in got[4][0]
+    assert got[5][0].split()[0] in pii.GIVEN["latin", "f"] and got[5][0].split()[1] == got[0][0].split()[1]
 
 
 def test_permutation_is_one():
     s = pii.Surrogates("k")
     for size in (1, 2, 10, 777):
-        assert sorted(s.permute(i, size, "n") for i in range(size)) == list(range(size))
+        got = [s.permute(i, size, "n") for i in range(size)]
+        assert sorted(got) == list(range(size)) and (size == 1 or all(x != i for i, x in enumerate(got)))
