@@ -110,7 +110,7 @@ def alphabet(c: str) -> str:
         made = [unicodedata.normalize("NFC", x + marks) for x in _ALPHABET[base]]
         return "".join(x for x in made if len(x) == 1 and x not in _ALPHABET and (x < "\u0280", _has_capital(x)) == (c < "\u0280", _has_capital(c))) if c in made else c
     start = ord(c) >> 7 << 7
-    return _block(start, start + 128, unicodedata.category(c), _script(c), _has_capital(c))
+    return _block(max(start, 0xD7A4) if "\ud7a4" <= c <= "\ud7ff" else start, start + 128, unicodedata.category(c), _script(c), _has_capital(c))
 
 
 def _has_capital(c: str) -> bool:
