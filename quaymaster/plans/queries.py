@@ -525,3 +525,18 @@ def format_dispatch(spark: SparkSession, d: str) -> DataFrame:
     files = ad.load(spark, d, "customer").select(name.alias("path"), F.when(kind == 0, page).otherwise(mail).cast("binary").alias("content"))
     rows = documents.parse_documents(files, lambda content: content.decode())
     return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint").alias("c_custkey"), "direction", F.col("subject").isNotNull().alias("from_mail"), "vessel_name")
+
+
+# A file of one page whose font maps UTF-16; every fifth one is cut before its pages.
+_PDF = "%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Kids[3 0 R]/Count 1>>\nendobj\n3 0 obj\n<</Type/Page/Parent 2 0 R/Resources<</Font<</F1 5 0 R>>>>/Contents 4 0 R>>\nendobj\n5 0 obj\n<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 6 0 R>>\nendobj\n6 0 obj\n<<>>\nstream\n1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange\nendstream\nendobj\n4 0 obj\n<<>>\nstream\nBT /F1 12 Tf 14 TL 40 700 Td "
+
+
+@_query("pdf_ingest", "SELECT c_custkey, c_custkey % 5 = 4 AS damaged, CASE WHEN c_custkey % 5 = 4 THEN 'прочее' WHEN c_custkey % 2 = 0 THEN 'вход' ELSE 'выход' END AS direction, CASE WHEN c_custkey % 5 <> 4 THEN c_name END AS vessel_name, CAST(CASE WHEN c_custkey % 5 <> 4 THEN c_custkey END AS INT) AS gross_tonnage FROM customer")
+def pdf_ingest(spark: SparkSession, d: str) -> DataFrame:
+    line = lambda *parts: F.concat(F.lit("<"), F.hex(F.encode(F.concat(*parts), "UTF-16BE")), F.lit("> Tj T* "))
+    lines = [line(F.lit("на "), F.when(F.col("c_custkey") % 2 == 0, "вход").otherwise("выход")), line(F.lit("Название судна "), F.col("c_name")), line(F.lit("Брутто/нетто")), line(F.col("c_custkey").cast("string"), F.lit(" / 7"))]
+    whole = F.concat(F.lit(_PDF), *lines, F.lit("ET\nendstream\nendobj\ntrailer\n<</Root 1 0 R>>\n%%EOF\n"))
+    content = F.when(F.col("c_custkey") % 5 == 4, F.substring(whole, 1, 50)).otherwise(whole).cast("binary")
+    files = documents.spread(ad.load(spark, d, "customer").select("c_custkey", "c_name")).select(F.concat(F.lit("in/"), F.col("c_custkey"), F.lit(".pdf")).alias("path"), content.alias("content"))
+    rows = documents.parse_documents(files)
+    return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint").alias("c_custkey"), (F.col("status") == "error").alias("damaged"), "direction", "vessel_name", "gross_tonnage")

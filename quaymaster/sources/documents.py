@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import pdf
 
 _CELL = "array<struct<pos: int, label: string, value: string>>"
 _MAIL = f"subject string, sender string, received_at timestamp_ntz, raw_text string, cells {_CELL}, is_html boolean"
@@ -148,11 +149,11 @@ def html_fields(df: DataFrame, html_col: str, key_col: str) -> DataFrame:
 
 
 def application_row(mails: DataFrame) -> DataFrame:
-    """Typed application rows of decoded documents, as an upload stores them."""
+    """Typed application rows of decoded documents, as an upload stores them; one without a text (a damaged file) has status error."""
     mails = t.with_text_cells(mails, F.when(~F.col("is_html"), F.col("raw_text")), "_text_cells")
     cells = F.when(F.col("is_html"), F.col("cells")).otherwise(F.col("_text_cells").cast(_CELL))
     return t.with_fields(mails, cells).select(
-        F.lit("needs_review").alias("status"), F.lit("upload").alias("source"), "sender", "subject", "received_at",
+        F.when(F.col("raw_text").isNull(), "error").otherwise("needs_review").alias("status"), F.lit("upload").alias("source"), "sender", "subject", "received_at",
         t.detect_direction(F.col("raw_text"), F.col("subject")).alias("direction"), *t.FIELDS,
         F.lit(None).cast("string").alias("tugs_text"), F.lit(None).cast("string").alias("agent"), "raw_text", F.col("path").alias("file_path"),
     )
@@ -162,17 +163,21 @@ def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 
 
-def parse_documents(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
+def parse_documents(files: DataFrame, pdf_text: Callable[[bytes], str] = pdf.text) -> DataFrame:
     """Application rows of (path, content): ``.pdf`` by ``pdf_text``, all others as mails.
 
-    ``pdf_text`` turns a file into its pages' text joined by newlines; without it a PDF is an error.
+    ``pdf_text`` turns a file into its pages' text joined by newlines; a file for which it raises ``ValueError`` is a row with status error.
     """
 
+    def text_of(content: bytes | None) -> str | None:
+        try:
+            return pdf_text(content or b"")
+        except ValueError:
+            return None
+
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and pdf_text is None:
-                raise ValueError(f"pass pdf_text to read {batch.column(0)[0]}")
-            texts = [pdf_text(c or b"") for c in batch.column(1).to_pylist()]
+            texts = [text_of(c) for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "raw_text"])
 
     mails = decode_mails(files.where(~is_pdf(F.col("path"))))

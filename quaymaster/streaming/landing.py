@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import store
+from ..sources import pdf
 from ..sources.documents import application_row, decode_mails, parse_documents, voucher_uploads
 
 UNNAMED = "upload.bin"
@@ -58,7 +59,7 @@ def _stored(files: DataFrame, root: str, table: str, checkpoint: str, rows_of: C
     return files.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def store_applications(spark: SparkSession, path: str, root: str, checkpoint: str, files_per_batch: int = 1000, pdf_text: Callable[[bytes], str] | None = None) -> StreamingQuery:
+def store_applications(spark: SparkSession, path: str, root: str, checkpoint: str, files_per_batch: int = 1000, pdf_text: Callable[[bytes], str] = pdf.text) -> StreamingQuery:
     """Store all documents that are in ``path`` now and weren't before as applications, then stop."""
     return _stored(landed_files(spark, path, files_per_batch), root, "applications", checkpoint, lambda files: parse_documents(files, pdf_text))
 

@@ -11,7 +11,7 @@ from quaymaster.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["dashboard_counts", "price_works", "match_min_0_2", "match_min_0_7", "match_ranked", "match_view", "recalc_merge", "upsert_forms", "voucher_forms", "export_csv", "works_per_application", "vouchers_list", "tug_count", "parse_datetime", "eml_ingest", "format_dispatch", "match_top", "alias_table", "rates_from_xml", "ice_rates", "form_directions"]
+SOME = ["dashboard_counts", "price_works", "match_min_0_2", "match_min_0_7", "match_ranked", "match_view", "recalc_merge", "upsert_forms", "voucher_forms", "export_csv", "works_per_application", "vouchers_list", "tug_count", "parse_datetime", "eml_ingest", "format_dispatch", "match_top", "alias_table", "rates_from_xml", "ice_rates", "form_directions", "pdf_ingest"]
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
