@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ FX_CODES = ["USD", "EUR"]
 
 @dataclass(frozen=True)
 class Settings:
-    """Settings of an installation; ``from_conf`` reads them from ``spark.quaymaster.*``.
+    """Settings of an installation; ``from_conf`` reads each from ``spark.quaymaster.*``, else from the driver's environment (``QUAYMASTER_NIGHT_START_HOUR``).
 
     The thresholds steer pricing; ``data_dir`` is the root of the domain tables and of the landing folders.
     """
@@ -64,7 +65,8 @@ class Settings:
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Settings:
         kinds = {f: type(getattr(cls, f)) for f in cls.__dataclass_fields__}
-        return cls(**{f: kind(spark.conf.get(f"spark.quaymaster.{f}", str(getattr(cls, f)))) for f, kind in kinds.items()})
+        given = {f: spark.conf.get(f"spark.quaymaster.{f}", os.environ.get(f"QUAYMASTER_{f.upper()}")) for f in kinds}
+        return cls(**{f: kinds[f](value) for f, value in given.items() if value is not None})
 
     @property
     def applications_dir(self) -> str:

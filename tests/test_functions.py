@@ -85,3 +85,18 @@ def test_py_round_is_exact(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", t.py_round(F.col("x"), 2).alias("y"), t.py_round(F.col("x"), 4).alias("z"))
     for r in df.collect():
         assert r["y"] == round(r["x"], 2) and r["z"] == round(r["x"], 4)
+
+
+def test_settings_from_session_and_environment(spark, monkeypatch):
+    from quaymaster.dims import Settings
+
+    assert Settings.from_conf(spark) == Settings()
+    monkeypatch.setenv("QUAYMASTER_NIGHT_START_HOUR", "21")
+    monkeypatch.setenv("QUAYMASTER_DATA_DIR", "/shared/port")
+    got = Settings.from_conf(spark)
+    assert (got.night_start_hour, got.night_end_hour, got.applications_dir) == (21, 6, "/shared/port/incoming/applications")
+    spark.conf.set("spark.quaymaster.night_start_hour", "20")
+    try:
+        assert Settings.from_conf(spark).night_start_hour == 20
+    finally:
+        spark.conf.unset("spark.quaymaster.night_start_hour")
