@@ -11,11 +11,14 @@ becomes several pieces; repeated rows and ids are packed one by one; an empty ta
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +28,37 @@ from pyspark.sql.window import Window
 
 from .common import arrow_map, keeps_cache, slices, staged, take_turn, text_bytes
 
-#: Words whose ids a worker keeps at hand: so many used lately, and as many used before.
-CACHED_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker keeps at hand: so many of each, none longer than this.
+KEPT, KEPT_LENGTH = 200_000, 64
+#: Bytes of one text that are split at once.
+SPLIT_BYTES = 1 << 20
 #: Rows that one window partition ranks, about.
 RANK_ROWS = 100_000
 
+#: A tokenizer with these rules is known to cut PLAIN texts, in lower case, into PARTS: all their letters are
+#: composed ones, and every part is tokens of its own.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PLAIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level vocabularies write the bytes that don't show as the characters from 256 on.
+_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+_encoders: dict[str, Callable[[bytes], bytes]] = {}
 _tokenizers: dict[str, object] = {}
-_ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def _forget() -> None:
-    _ids.clear()
+    _encoders.clear()
     _tokenizers.clear()
 
 
@@ -51,27 +74,62 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
+def _encoder(path: str) -> Callable[[bytes], bytes]:
+    """From a text to its ids.  What is kept is bounded by count and length, so a worker's memory is."""
+    tokenizer = _tokenizer(path)
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    known = all(rules[k] == v for k, v in RULES.items()) and rules["model"]["type"] == "BPE" and not any(t["normalized"] for t in rules["added_tokens"])
+    marks = [t["content"] for t in rules["added_tokens"]]
+    model = tokenizer.model
+
+    def plain(text: str) -> bool:
+        return known and PLAIN.fullmatch(text) is not None and not any(m in text for m in marks)
+
+    @lru_cache(KEPT)
+    def part(chars: str) -> bytes:
+        signs = chars if chars.isascii() else chars.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in model.tokenize(signs)]).tobytes()
+
+    @lru_cache(KEPT)
+    def word(chars: bytes) -> bytes:
+        text = chars.decode("utf-8", "replace")
+        return parts(text) if plain(text) else array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def each(f, found: list) -> bytes:
+        if max(map(len, found), default=0) > KEPT_LENGTH:
+            return b"".join(f(x) if len(x) <= KEPT_LENGTH else f.__wrapped__(x) for x in found)
+        return b"".join(map(f, found))
+
+    def parts(text: str) -> bytes:
+        return each(part, PARTS.findall(text.lower()))
+
+    def whole(chars: bytes) -> bytes:
+        text = chars.decode("utf-8", "replace")
+        return parts(text) if plain(text) else each(word, chars.split())
+
+    def encode(text: bytes) -> bytes:
+        at, found = 0, []
+        while at < len(text):
+            to = text.find(b" ", at + SPLIT_BYTES)
+            to = len(text) if to < 0 else to
+            found.append(whole(text[at:to]))
+            at = to
+        return b"".join(found)
+
+    return encode
+
+
+def encode_texts(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit integers.
 
-    The vocabulary never joins across ASCII white space, so ids of words are kept and joined; only
-    words not seen lately run the tokenizer.
+    The vocabulary never joins across ASCII white space, nor across what the tokenizer's pattern parts;
+    so ids of parts, or of words with characters beyond PLAIN, are kept and joined.
     """
     take_turn("packing")
-    cache, older = _ids.setdefault(path, ({}, {}))
-    if len(cache) > CACHED_WORDS:
-        cache, older = _ids[path] = {}, cache
-    split = [t.split() for t in texts]
-    missing = []
-    for word in set().union(*split).difference(cache):
-        if word in older:
-            cache[word] = older[word]
-        else:
-            missing.append(word)
-    if missing:
-        found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(missing, found, strict=True))
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    if path not in _encoders:
+        _encoders[path] = _encoder(path)
+    return map(_encoders[path], texts)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
