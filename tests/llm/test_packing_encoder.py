@@ -1,4 +1,4 @@
-"""What the encoder of packing keeps, and that its ids are the tokenizer's."""
+"""What the encoder of packing keeps, what it runs the tokenizer on, and that its ids are the tokenizer's."""
 
 import random
 import tracemalloc
@@ -42,6 +42,35 @@ def test_a_worker_keeps_no_long_words():
     assert kept(["ш" * (20_000 + i) for i in range(40)]) < 1e6
 
 
+def test_parts_that_words_share_are_tokenised_once(monkeypatch):
+    seen = []
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        @property
+        def model(self):
+            return Counted(self.real.model)
+
+        def tokenize(self, chars):
+            seen.append(chars)
+            return self.real.tokenize(chars)
+
+        def encode(self, text, **more):
+            seen.append(text)
+            return self.real.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.real.encode_batch_fast(texts, **more)
+
+    real = packing._tokenizer(tokenizer_path())
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Counted(real))
+    encoded(["Alpha, alpha. (alpha) beta, ALPHA!", "(Beta) alpha,alpha. élan, Élan"])
+    assert sorted(map(len, seen)) == sorted(map(len, ["alpha", "beta", "Ã©lan", ",", ".", "(", ")", "!", ]))
+
+
 def test_ids_are_those_of_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "SPLIT_BYTES", 5, raising=False)
     r = random.Random(8)
