@@ -131,7 +131,12 @@ def create_works(accepted: DataFrame, apps: DataFrame, vouchers: DataFrame, keep
     """
     a = apps.select(F.col("id").alias("application_id"), F.col("vessel_name").alias("_vessel"), F.col("agent").alias("_agent"), "gross_tonnage")
     v = vouchers.withColumnRenamed("id", "voucher_id")
-    return accepted.select("application_id", "voucher_id").join(a, "application_id").join(v, "voucher_id").select(
+    return work_rows(accepted.select("application_id", "voucher_id").join(a, "application_id").join(v, "voucher_id"), keep)
+
+
+def work_rows(joined: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Work rows of vouchers that stand beside their application: application_id, voucher_id, _vessel, _agent and gross_tonnage, and the voucher's own columns."""
+    return joined.select(
         F.lit("matched").alias("status"), "application_id", "voucher_id", "tug_id", t.first_filled(F.col("vessel_name"), F.col("_vessel")).alias("object_name"), "work_type",
         t.first_filled(F.col("agent"), F.col("_agent")).alias("agent"), "left_base_dt", "arrived_base_dt", "started_dt", "finished_dt", "gross_tonnage", "is_ice", "escort_hours", *keep,
     )

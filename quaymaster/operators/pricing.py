@@ -40,8 +40,8 @@ def price_works(works: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, s
     operation_tariffs = F.broadcast(dims.operation_tariffs(spark)) if operation_tariffs is None else operation_tariffs
     kept = [c for c in works.columns if c.lower() not in PRICED]
 
-    # all columns ride in one, so that no name of theirs can meet one of these
-    df = works.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_work"), *INPUTS)
+    # all columns ride under numbers, so that no name of theirs can meet one of these; a plain column keeps the rows dealt out as they are
+    df = works.select(*[F.col(f"`{c}`").alias(f"_work{i}") for i, c in enumerate(kept)], *INPUTS)
     ice, agent = F.coalesce("is_ice", F.lit(False)), F.coalesce("agent", F.lit(""))
     df = t.with_work_type(df, F.col("work_type"), "_type").withColumns({
         "_ice": ice, "_agent": agent, "_ref": F.coalesce("started_dt", "finished_dt"),
@@ -99,7 +99,7 @@ def price_works(works: DataFrame, fx_rate: DataFrame, calendar_day: DataFrame, s
     df = df.withColumn("calc_error", error)
     ok = F.col("calc_error").isNull()
     return df.select(
-        *[F.col("_work").getField(c).alias(c) for c in kept], "work_minutes", "busy_minutes",
+        *[F.col(f"_work{i}").alias(c) for i, c in enumerate(kept)], "work_minutes", "busy_minutes",
         F.when(ok, F.col("_amount")).alias("amount"), F.when(ok, F.col("_currency")).alias("currency"), F.when(ok, t.py_round(F.col("_fx"), 4)).alias("cbr_rate"),
         F.when(ok, t.py_round(F.col("_amount") * F.col("_fx"), 2)).alias("revenue_rub"), F.when(ok, F.col("_note")).alias("calc_note"), "calc_error",
         F.when(ok, F.when(F.col("_per_op"), "per_operation").otherwise(F.col("_unit"))).alias("pricing"),

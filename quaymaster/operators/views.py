@@ -23,7 +23,8 @@ def _money(c: str) -> Column:
 
 
 def with_tug(df: DataFrame, tugs: DataFrame) -> DataFrame:
-    return df.join(tugs.select(F.col("id").alias("tug_id"), F.col("name").alias("tug_name")), "tug_id", "left")
+    """``df`` with the name of its tug; a fleet is small, and by its few ids the rows would meet in as few tasks."""
+    return df.join(F.broadcast(tugs.select(F.col("id").alias("tug_id"), F.col("name").alias("tug_name"))), "tug_id", "left")
 
 
 def dashboard(applications: DataFrame, vouchers: DataFrame, works: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def vouchers_list(spark: SparkSession, d: str) -> DataFrame:
     return views.vouchers_list(ad.vouchers(spark, d), ad.tugs(spark))
 
 
-def _priced(spark: SparkSession, d: str) -> DataFrame:
-    w = ad.works(spark, d).withColumn("tug_count", t.tug_count(F.col("joint_with"))).drop("joint_with")
+def _priced(spark: SparkSession, d: str, **made) -> DataFrame:
+    w = ad.works(spark, d, **made).withColumn("tug_count", t.tug_count(F.col("joint_with"))).drop("joint_with")
     return pricing.price_works(w, ad.fx_rate(spark), ad.calendar_day(spark))
 
 
@@ -90,7 +90,9 @@ _part("calc_notes", "calc_note IS NOT NULL", ["id", "calc_note"])
     {_OR('currency')} AS currency, cbr_rate, coalesce({o.money('revenue_rub')}, '—') AS revenue, coalesce(calc_note, '') AS note, status FROM priced p LEFT JOIN tugs t ON p.tug_id = t.id""",
 )
 def works_list(spark: SparkSession, d: str) -> DataFrame:
-    return views.works_list(_priced(spark, d), ad.tugs(spark))
+    # rows are dealt out in the list's order before they are priced: no text of theirs is shuffled, and none is priced twice
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return views.works_list(_priced(spark, d, dealt=lambda rows: rows.repartitionByRange(parts, F.desc("id"))), ad.tugs(spark))
 
 
 @_query("point_lookup", f"WITH {ad.APPLICATIONS_SQL} SELECT id, direction, gross_tonnage FROM applications WHERE id = 7")
