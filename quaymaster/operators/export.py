@@ -23,9 +23,17 @@ def works_frame(works: DataFrame, tugs: DataFrame, vouchers: DataFrame, applicat
     ``ids`` holds the works' ids from a cheaper plan, where ``works`` is a priced one.
     """
     w = numbered(works, "id", "_number", ids)
-    w = w.join(tugs.select(F.col("id").alias("tug_id"), F.col("name").alias("_tug")), "tug_id", "left")
     w = w.join(vouchers.select(F.col("id").alias("voucher_id"), F.col("number").alias("_voucher_number"), F.col("file_path").alias("_voucher_file")), "voucher_id", "left")
     w = w.join(applications.select(F.col("id").alias("application_id"), F.col("file_path").alias("_application_file")), "application_id", "left")
+    return numbered_frame(w, tugs)
+
+
+def numbered_frame(works: DataFrame, tugs: DataFrame) -> DataFrame:
+    """The export's rows of works that have their _number, _voucher_number, _voucher_file and _application_file already.
+
+    Works that are still to be priced get these first, so that what is shuffled for them are narrow rows.
+    """
+    w = works.join(F.broadcast(tugs.select(F.col("id").alias("tug_id"), F.col("name").alias("_tug"))), "tug_id", "left")  # a fleet is small
     filled = lambda c: F.coalesce(F.col(c), F.lit(""))
     span = lambda a, b: t.format_hm(t.minutes_between(F.col(a), F.col(b)))
     values = [

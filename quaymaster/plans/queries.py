@@ -472,7 +472,12 @@ def _export_sql() -> str:
 
 @_query("export_works", _export_sql())
 def export_works(spark: SparkSession, d: str) -> DataFrame:
-    return export.works_frame(_priced(spark, d), ad.tugs(spark), ad.vouchers(spark, d), ad.applications(spark, d), ids=ad.works(spark, d).select("id"))
+    # numbered before they are priced; a work's voucher and application are at hand where it is made, so neither is joined again
+    ids = ad.works(spark, d).select("id")
+    works = _priced(spark, d, dealt=lambda rows: state.numbered(rows, "id", "_number", ids), keep=["joint_with", "number", "file_path", "application_file", "_number"])
+    of_voucher = lambda c: F.when(F.col("voucher_id").isNotNull(), F.col(c))
+    works = works.withColumns({"_voucher_number": of_voucher("number"), "_voucher_file": of_voucher("file_path"), "_application_file": F.col("application_file")})
+    return export.numbered_frame(works, ad.tugs(spark))
 
 
 @_query("export_csv", f"""SELECT {", ".join(f'coalesce(CAST("{c}" AS VARCHAR), {chr(39)*2}) AS "{c}"' for c in export.COLUMNS)} FROM ({_export_sql()})""")

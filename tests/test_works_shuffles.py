@@ -22,7 +22,7 @@ def odd(tmp_path_factory):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["works_list", "create_works"])
+@pytest.mark.parametrize("name", ["works_list", "export_works", "export_csv", "create_works"])
 def test_a_work_without_an_id_stays(spark, odd, name):
     connection = duckdb.connect()
     for table in ("customer", "orders", "lineitem"):
@@ -32,7 +32,7 @@ def test_a_work_without_an_id_stays(spark, odd, name):
 
 
 @needs_tables
-@pytest.mark.parametrize(("name", "dealt"), [("works_list", r"rangepartitioning\(id#\d+L DESC")])
+@pytest.mark.parametrize(("name", "dealt"), [("works_list", r"rangepartitioning\(id#\d+L DESC"), ("export_works", r"hashpartitioning\(_bin"), ("export_csv", r"hashpartitioning\(_bin")])
 def test_priced_rows_are_not_shuffled(spark, name, dealt):
     plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\((tug_id|voucher_id|application_id)#", plan)
