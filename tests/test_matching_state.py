@@ -100,3 +100,20 @@ def test_schemas_and_keys(spark, tmp_path):
     vouchers = spark.createDataFrame([(1, 5), (2, None), (3, 1)], "id bigint, tug_id bigint")
     bad = state.all_violations({"vouchers": vouchers, "tugs": spark.createDataFrame([(1, "x")], "id bigint, name string")}).collect()
     assert [(r["table"], r["id"], r["value"]) for r in bad] == [("vouchers", 1, 5)]
+
+
+def test_pairs_of_a_type_and_a_day_look_at_the_name_alone(spark):
+    plan = matching.match_candidates(*frames(spark), 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [line for line in plan.splitlines() if " AS score#" in line]
+    assert len(pairs) == 2 and "0.5 AS score" in pairs[1] and "datediff" not in pairs[1] and "CASE" not in pairs[1]  # settled by the join
+    assert "filter(" not in plan.split("Join Inner")[0]  # reasons are chosen, not put together for each pair
+
+
+def test_settled_flags_give_the_scores_of_all_pairs(spark):
+    apps, vouchers = frames(spark)
+    every = {(r["application_id"], r["voucher_id"]): (r["score"], r["reasons"]) for r in matching.match_candidates(apps, vouchers, 0).collect()}
+    parts = {("совпадает судно", 0.5), ("совпадает вид работ", 0.3), ("совпадает дата", 0.2)}
+    assert all(abs(score - sum(p for r, p in parts if r in reasons)) < 1e-9 for score, reasons in every.values())
+    for threshold in (0.2, 0.3, 0.5, 0.7, 0.8, 1.0):
+        got = {(r["application_id"], r["voucher_id"]): (r["score"], r["reasons"]) for r in matching.match_candidates(apps, vouchers, threshold).collect()}
+        assert got == {k: x for k, x in every.items() if x[0] >= threshold}
