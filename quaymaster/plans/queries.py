@@ -90,7 +90,7 @@ _part("calc_notes", "calc_note IS NOT NULL", ["id", "calc_note"])
     {_OR('currency')} AS currency, cbr_rate, coalesce({o.money('revenue_rub')}, '—') AS revenue, coalesce(calc_note, '') AS note, status FROM priced p LEFT JOIN tugs t ON p.tug_id = t.id""",
 )
 def works_list(spark: SparkSession, d: str) -> DataFrame:
-    # rows are dealt out in the list's order before they are priced: no text of theirs is shuffled, and none is priced twice
+    # rows are dealt out in the list's order before they are priced, so none of the texts that pricing makes is shuffled
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return views.works_list(_priced(spark, d, dealt=lambda rows: rows.repartitionByRange(parts, F.desc("id"))), ad.tugs(spark))
 
